@@ -1,0 +1,130 @@
+"""Claims derived from order tables (``lineitem``, ``orders``, ``customer``).
+
+One order line becomes one claim. Orders meet customers first, so that the large line table is
+shuffled at most once; join strategies are left to the optimizer, which knows the table sizes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from claimgauge.schema import CLAIMS
+
+
+def _pick(code: Column, *bounds_and_values) -> Column:
+    """The value of the first bound above ``code``; the last value has no bound."""
+    *bounded, last = bounds_and_values
+    branches = F
+    for bound, value in bounded:
+        branches = branches.when(code < bound, value)
+    return branches.otherwise(last)
+
+
+def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    owned = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    joined = lines.join(owned, lines.l_orderkey == owned.o_orderkey)
+
+    order, line, part, supplier = (
+        F.col(name) for name in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    )
+    numbered = joined.withColumns(
+        {
+            "u1": (order * 131 + line * 17 + part * 7 + supplier) % 1000,
+            "u2": (order * 37 + line * 101 + part * 13 + supplier * 3) % 1009,
+            "u3": (order * 59 + line + part * 29 + supplier * 5) % 997,
+            "prov": F.when(part % 10 == 0, supplier - supplier % 20).otherwise(supplier),
+        }
+    )
+    u1, u2, u3, prov = (F.col(name) for name in ("u1", "u2", "u3", "prov"))
+    cluster = prov % 20 == 0
+    denied = ~cluster & (u3 % 100 < 12)
+    marked = numbered.withColumns(
+        {
+            "claim_type": F.when(cluster | (u1 % 100 < 60), "Professional")
+            .when(u1 % 100 < 85, "Institutional")
+            .otherwise("Pharmacy"),
+            "service_date": F.when(
+                cluster, F.date_add(F.lit("2001-08-01").cast("date"), (u1 % 60).cast("int"))
+            ).otherwise(F.col("l_shipdate").cast("date")),
+            "allowed_amount": F.floor(
+                F.col("l_extendedprice") * F.when(prov % 20 == 7, 5).otherwise(40 + u1 % 56)
+            )
+            / 100,
+        }
+    )
+
+    kind, served, allowed = F.col("claim_type"), F.col("service_date"), F.col("allowed_amount")
+    reason_code = u2 % 6
+    reason = (
+        F.when(reason_code == 0, "medical_necessity")
+        .when(reason_code == 1, "not_covered")
+        .when(reason_code == 2, "authorization_missing")
+        .when(reason_code == 3, "coding_error")
+        .when(reason_code == 4, "duplicate")
+        .otherwise("untimely_filing")
+    )
+    appeal_share = (
+        F.when(reason_code == 0, 40)
+        .when(reason_code == 1, 15)
+        .when(reason_code == 2, 30)
+        .when(reason_code == 3, 10)
+        .when(reason_code == 4, 5)
+        .otherwise(2)
+    )
+    needs_authorization = ~cluster & (u2 % 4 == 1)
+    region = prov % 4
+
+    def code(prefix: str, number: Column) -> Column:
+        return F.concat(F.lit(prefix), number.cast("string"))
+
+    columns = {
+        "claim_id": F.concat_ws("-", F.lit("CLM"), order, line, part, supplier),
+        "member_id": code("MEM-", F.col("o_custkey")),
+        "provider_id": code("PROV-", prov),
+        "facility_id": F.when(u2 % 10 >= 3, code("FAC-", prov % 20)),
+        "payer_product": _pick(u2 % 20, (9, "Commercial"), (14, "Medicare"), (18, "Medicaid"), "Exchange"),
+        "plan_type": _pick(u3 % 4, (1, "HMO"), (2, "PPO"), (3, "POS"), "EPO"),
+        "line_of_business": _pick(u2 % 20, (9, "Group"), (14, "Medicare"), (18, "Medicaid"), "Individual"),
+        "service_date": served,
+        "claim_received_date": F.date_add(served, (1 + u2 % 30).cast("int")),
+        "paid_date": F.when(u3 % 20 != 0, F.date_add(served, (15 + u2 % 30 + u1 % 77).cast("int"))),
+        "claim_type": kind,
+        "place_of_service": F.when(cluster, "12").otherwise(_pick(u1 % 3, (1, "11"), (2, "21"), "23")),
+        "diagnosis_codes": F.when(u3 % 3 == 0, F.concat(code('["DX-', 1000 + u2 % 7), F.lit('"]'))).otherwise(
+            F.concat(code('["DX-', 1000 + u2 % 7), code('", "DX-', 2000 + u1 % 11), F.lit('"]'))
+        ),
+        "procedure_code": F.when(cluster, code("HCPCS-E010", u1 % 2))
+        .when(kind == "Pharmacy", code("RX-0", 1000 + part % 5))
+        .when(u2 % 100 < 35, code("CPT-99", 201 + part % 5))
+        .when(u2 % 100 < 55, code("CPT-70", 100 + part % 5))
+        .when(u2 % 100 < 70, F.concat(code("CPT-", 2 + part % 5), F.lit("100")))
+        .when(u2 % 100 < 80, code("HCPCS-E0", 110 + part % 10))
+        .otherwise(code("CPT-80", 100 + part % 5)),
+        "revenue_code": F.when(kind == "Institutional", code("0", 100 + u3 % 800)),
+        "billed_amount": F.col("l_extendedprice"),
+        "allowed_amount": allowed,
+        "paid_amount": F.when(denied, 0.0).otherwise(F.floor(allowed * 90) / 100),
+        "units": F.col("l_quantity"),
+        "network_status": F.when(
+            (cluster & (u3 % 100 < 95)) | (~cluster & (u3 % 10 == 3)), "OON"
+        ).otherwise("INN"),
+        "authorization_required": F.when(needs_authorization, "Y").otherwise("N"),
+        "authorization_id": F.when(needs_authorization & (u1 % 10 > 0), code("AUTH-", u1)),
+        "denial_flag": F.when(denied, "Y").otherwise("N"),
+        "denial_reason_category": F.when(denied, reason),
+        "appeal_flag": F.when(denied & (u1 % 100 < appeal_share), "Y").otherwise("N"),
+        "grievance_flag": F.when(u2 % 50 == 7, "Y").otherwise("N"),
+        "dme_flag": F.when(cluster | ((kind != "Pharmacy") & (u2 % 100).between(70, 79)), "Y").otherwise("N"),
+        "supplier_type": F.when(cluster, "DME Supplier"),
+        "rendering_npi": code("NPI", prov),
+        "billing_npi": code("NPI", prov),
+        "geography_state": _pick(region, (1, "PA"), (2, "FL"), (3, "OH"), "CA"),
+        "geography_region": _pick(region, (1, "Northeast"), (2, "Southeast"), (3, "Midwest"), "West"),
+        "specialty": F.when(cluster, "DME Supplier").otherwise(
+            _pick(prov % 3, (1, "Radiology"), (2, "Cardiology"), "Orthopedics")
+        ),
+    }
+    return marked.select(*[columns[field.name].cast(field.dataType).alias(field.name) for field in CLAIMS])
