@@ -489,7 +489,7 @@ def document() -> str:
 
 def grouped(value: str, places: int) -> str:
     """1234.5 as 1,234.50."""
-    text = f"printf('%.{places}f', round({value}, {places}))"
+    text = f"printf('%.{places}f', CAST(round({value}, {places}) AS DOUBLE))"
     whole = f"split_part({text}, '.', 1)"
     commas = f"reverse(regexp_replace(reverse({whole}), '([0-9]{{3}})', '\\1,', 'g'))"
     trimmed = f"ltrim({commas}, ',')"

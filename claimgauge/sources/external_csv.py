@@ -48,7 +48,8 @@ def read_external_csv(spark: SparkSession, path: str) -> DataFrame:
 
     An empty unquoted field is null and a quoted empty one (``""``) is an empty string.
     """
-    raw = spark.read.option("header", True).option("emptyValue", "").csv(path)
+    # With its default, "", the null marker would swallow quoted empty fields as well.
+    raw = spark.read.option("header", True).option("nullValue", "\0").csv(path)
     raw = raw.toDF(*[name.strip() for name in raw.columns])
     missing = sorted(set(EXTERNAL_COLUMNS) - set(raw.columns))
     if missing:
