@@ -2,136 +2,119 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimgauge.functions.ratios import count_where
-from claimgauge.functions.text import percent
 from claimgauge.schema import ACCEPTED, AMOUNTS, CLAIMS, DENIAL_REASONS, REQUIRED, SPARSE
 
 # Fixed values.
 HIGH_NULL_RATE = 0.50
 EXAMPLES = 5
-RULE_ORDER = (
-    "column_presence",
-    "not_null",
-    "non_negative_amount",
-    "positive_units",
-    "enum_values",
-    "denial_reason_required",
-    "denial_reason_enum",
-    "date_ordering",
-    "zero_variance",
-    "high_null_rate",
-)
-
-ISSUE = (
-    "struct<level:string,rule:string,column_name:string,message:string,affected_rows:bigint,position:int>"
-)
-
-
-def _unaccepted(name: str, accepted) -> Column:
-    """True for a value outside the list; null, hence not counted, for a null."""
-    return ~F.col(name).isin(*accepted)
-
-
-def row_checks() -> list[tuple[str, str | None, Column]]:
-    """(rule, column, condition of a bad row) of every critical row-level check, in order."""
-    denied = F.col("denial_flag") == "Y"
-    reason = F.col("denial_reason_category")
+
+
+def _text(value: str) -> str:
+    """An SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _unaccepted(name: str, accepted) -> str:
+    """Condition of a value outside the list; null, hence not counted, for a null."""
+    return f"{name} NOT IN ({', '.join(map(_text, accepted))})"
+
+
+def row_checks() -> list[tuple[str, str, str]]:
+    """(rule, column or '', condition of a bad row) of every critical row-level check, in order."""
     return [
-        *[("not_null", name, F.col(name).isNull()) for name in REQUIRED],
-        *[("non_negative_amount", name, F.col(name) < 0) for name in AMOUNTS],
-        ("positive_units", "units", F.col("units") < 1),
+        *[("not_null", name, f"{name} IS NULL") for name in REQUIRED],
+        *[("non_negative_amount", name, f"{name} < 0") for name in AMOUNTS],
+        ("positive_units", "units", "units < 1"),
         *[("enum_values", name, _unaccepted(name, accepted)) for name, accepted in ACCEPTED.items()],
-        ("denial_reason_required", None, denied & reason.isNull()),
-        ("denial_reason_enum", None, _unaccepted("denial_reason_category", DENIAL_REASONS)),
-        ("date_ordering", None, F.col("claim_received_date") < F.col("service_date")),
+        ("denial_reason_required", "", "denial_flag = 'Y' AND denial_reason_category IS NULL"),
+        ("denial_reason_enum", "", _unaccepted("denial_reason_category", DENIAL_REASONS)),
+        ("date_ordering", "", "claim_received_date < service_date"),
     ]
 
 
-def _message(rule: str, name: str | None, n: Column, total: Column) -> Column:
-    count = n.cast("string")
-    texts = {
-        "not_null": [f"Column '{name}' has ", count, " null values"],
-        "non_negative_amount": [f"Column '{name}' has ", count, " negative values"],
-        "positive_units": [f"Column '{name}' has ", count, " values < 1"],
-        "enum_values": [f"Column '{name}' has ", count, " rows with invalid values"],
-        "denial_reason_required": [count, " claims have denial_flag=Y but null denial_reason_category"],
-        "denial_reason_enum": [count, " claims have invalid denial_reason_category"],
-        "date_ordering": [count, " claims have claim_received_date before service_date"],
-        "zero_variance": [f"Column '{name}' has zero variance — suspicious for real data"],
-        "high_null_rate": [f"Column '{name}' has ", percent(n / total, 1), " nulls"],
-    }
-    return F.concat(*[part if isinstance(part, Column) else F.lit(part) for part in texts[rule]])
+# Message parts; {name} is the column, {n} the row count, {share} the null rate.
+MESSAGES = {
+    "not_null": "Column '{name}' has {n} null values",
+    "non_negative_amount": "Column '{name}' has {n} negative values",
+    "positive_units": "Column 'units' has {n} values < 1",
+    "enum_values": "Column '{name}' has {n} rows with invalid values",
+    "denial_reason_required": "{n} claims have denial_flag=Y but null denial_reason_category",
+    "denial_reason_enum": "{n} claims have invalid denial_reason_category",
+    "date_ordering": "{n} claims have claim_received_date before service_date",
+    "zero_variance": "Column '{name}' has zero variance — suspicious for real data",
+    "high_null_rate": "Column '{name}' has {share} nulls",
+}
+SHARE = "format_string('%.1f%%', round(100D * {n} / total_rows, 1))"
+
+
+def _message(rule: str, name: str, n: str) -> str:
+    """SQL of the message: the text pieces around the placeholders, concatenated with their values."""
+    text = MESSAGES[rule].replace("{name}", name)
+    placeholder, value = ("{share}", SHARE.format(n=n)) if "{share}" in text else ("{n}", n)
+    return f"concat_ws({value}, {', '.join(map(_text, text.split(placeholder)))})" if placeholder in text else _text(text)
 
 
 def _missing(claims: DataFrame) -> list[str]:
     return sorted(set(CLAIMS.names) - set(claims.columns))
 
 
+def _issue(level: str, rule: str, name: str, message: str, n: str, position: int) -> str:
+    return (
+        f"named_struct('level', '{level}', 'rule', '{rule}', 'column_name', {_text(name)}, 'message', {message}, "
+        f"'affected_rows', CAST({n} AS BIGINT), 'position', {position})"
+    )
+
+
 def _scan(claims: DataFrame) -> DataFrame:
     """One row, ``total_rows`` and ``issues``, from a single pass over the claims.
 
     All counters have a fixed width, so the pass is one hash aggregation with map-side sums.
     """
     missing = _missing(claims)
-    total = F.col("total_rows")
     if missing:
-        issue = F.struct(
-            F.lit("critical"), F.lit("column_presence"), F.lit(None).cast("string"),
-            F.lit(f"Missing required columns: {missing}"), total, F.lit(0),
-        )
-        counted = claims.agg(F.count("*").alias("total_rows"))
-        return counted.select("total_rows", F.array(issue).cast(f"array<{ISSUE}>").alias("issues"))
+        message = _text(f"Missing required columns: {missing}")
+        issue = _issue("critical", "column_presence", "", message, "total_rows", 0)
+        return claims.selectExpr("count(*) AS total_rows").selectExpr("total_rows", f"array({issue}) AS issues")
 
     critical = row_checks()
-    nulls = [("high_null_rate", name, F.col(name).isNull()) for name in claims.columns if name not in SPARSE]
-    counters = {f"c{i}": check for i, check in enumerate(critical + nulls)}
-    counted = claims.agg(
-        F.count("*").alias("total_rows"),
-        *[count_where(bad).alias(alias) for alias, (_, _, bad) in counters.items()],
-        *[
-            ((F.count(name) > 1) & (F.min(name) == F.max(name))).alias(f"constant_{name}")
-            for name in AMOUNTS
-        ],
+    nulls = [
+        ("high_null_rate", name, f"`{name.replace('`', '``')}` IS NULL")
+        for name in claims.columns
+        if name not in SPARSE
+    ]
+    counted = claims.selectExpr(
+        "count(*) AS total_rows",
+        *[f"count_if({bad}) AS c{i}" for i, (_, _, bad) in enumerate(critical + nulls)],
+        *[f"count({name}) > 1 AND min({name}) = max({name}) AS constant_{name}" for name in AMOUNTS],
     )
-    issues = []
-
-    def add(level: str, rule: str, name: str | None, n: Column, found: Column) -> None:
-        issue = F.struct(
-            F.lit(level), F.lit(rule), F.lit(name).cast("string"), _message(rule, name, n, total), n,
-            F.lit(len(issues)),
-        )
-        issues.append(F.when(found, issue.cast(ISSUE)))
-
-    for alias, (rule, name, _) in list(counters.items())[: len(critical)]:
-        add("critical", rule, name, F.col(alias), F.col(alias) > 0)
-    for name in AMOUNTS:
-        add("advisory", "zero_variance", name, total, F.col(f"constant_{name}"))
-    for alias, (rule, name, _) in list(counters.items())[len(critical) :]:
-        add("advisory", rule, name, F.col(alias), F.col(alias) > total * HIGH_NULL_RATE)
-    return counted.select("total_rows", F.array_compact(F.array(*issues)).alias("issues"))
+    found = [(f"c{i} > 0", "critical", rule, name, f"c{i}") for i, (rule, name, _) in enumerate(critical)]
+    found += [(f"constant_{name}", "advisory", "zero_variance", name, "total_rows") for name in AMOUNTS]
+    found += [
+        (f"c{i} > total_rows * {HIGH_NULL_RATE}D", "advisory", rule, name, f"c{i}")
+        for i, (rule, name, _) in enumerate(nulls, start=len(critical))
+    ]
+    issues = [
+        f"CASE WHEN {condition} THEN {_issue(level, rule, name, _message(rule, name, n), n, position)} END"
+        for position, (condition, level, rule, name, n) in enumerate(found)
+    ]
+    return counted.selectExpr("total_rows", f"array_compact(array({', '.join(issues)})) AS issues")
 
 
 def _examples(claims: DataFrame) -> DataFrame:
     """Up to five smallest unaccepted values of each checked column.
 
-    Reads only the checked columns and keeps bad values only; the row number is limited on the
-    map side, so a column full of distinct garbage never gathers in one task.
+    Claims are reduced to distinct combinations of the checked columns, of which sound data has
+    few; only then does each column get rows of its own. The row number is limited on the map
+    side, so a column full of distinct garbage never gathers in one task.
     """
-    found = [
-        F.when(_unaccepted(name, accepted), F.struct(F.lit(name).alias("column_name"), F.col(name).alias("value")))
-        for name, accepted in ACCEPTED.items()
-    ]
-    anything = reduce(
-        lambda a, b: a | b, [F.coalesce(_unaccepted(name, ok), F.lit(False)) for name, ok in ACCEPTED.items()]
-    )
+    bad = " ".join(f"WHEN '{name}' THEN {_unaccepted('value', accepted)}" for name, accepted in ACCEPTED.items())
     ranked = (
-        claims.where(anything)
-        .select(F.explode(F.array_compact(F.array(*found))).alias("bad"))
-        .select("bad.column_name", "bad.value")
+        claims.select(*ACCEPTED)
+        .distinct()
+        .unpivot([], list(ACCEPTED), "column_name", "value")
+        .where(f"CASE column_name {bad} END")
         .distinct()
         .withColumn("place", F.row_number().over(Window.partitionBy("column_name").orderBy("value")))
         .where(F.col("place") <= EXAMPLES)
@@ -173,7 +156,6 @@ def route_valid_rows(claims: DataFrame) -> DataFrame:
     A row-by-row step, so it splits streams as well.
     """
     failed = [
-        F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{rule}:{name}" if name else rule))
-        for rule, name, bad in row_checks()
+        f"CASE WHEN {bad} THEN '{f'{rule}:{name}' if name else rule}' END" for rule, name, bad in row_checks()
     ]
-    return claims.withColumn("failed_rules", F.array_compact(F.array(*failed)))
+    return claims.withColumn("failed_rules", F.expr(f"array_compact(array({', '.join(failed)}))"))

@@ -2,129 +2,133 @@
 
 One order line becomes one claim. Orders meet customers first, so that the large line table is
 shuffled at most once; join strategies are left to the optimizer, which knows the table sizes.
+Categories are looked up in constant arrays: chains of conditions for 33 columns would make the
+generated code too long to be compiled to machine code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from claimgauge.schema import CLAIMS
 
 
-def _pick(code: Column, *bounds_and_values) -> Column:
-    """The value of the first bound above ``code``; the last value has no bound."""
-    *bounded, last = bounds_and_values
-    branches = F
-    for bound, value in bounded:
-        branches = branches.when(code < bound, value)
-    return branches.otherwise(last)
+def _array(*values) -> str:
+    return f"array({', '.join(repr(value) for value in values)})"
 
 
-def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
-    owned = orders.join(customers, orders.o_custkey == customers.c_custkey)
-    joined = lines.join(owned, lines.l_orderkey == owned.o_orderkey)
+# Values by remainder: payer and line of business by u2 % 20, reasons by u2 % 6 and so on.
+PAYERS = _array(*["Commercial"] * 9, *["Medicare"] * 5, *["Medicaid"] * 4, *["Exchange"] * 2)
+LINES = _array(*["Group"] * 9, *["Medicare"] * 5, *["Medicaid"] * 4, *["Individual"] * 2)
+PLANS = _array("HMO", "PPO", "POS", "EPO")
+PLACES = _array("11", "21", "23", "12")
+REASONS = _array(
+    "medical_necessity", "not_covered", "authorization_missing", "coding_error", "duplicate", "untimely_filing"
+)
+APPEAL_SHARES = _array(40, 15, 30, 10, 5, 2, 0)
+STATES = _array("PA", "FL", "OH", "CA")
+REGIONS = _array("Northeast", "Southeast", "Midwest", "West")
+SPECIALTIES = _array("Radiology", "Cardiology", "Orthopedics", "DME Supplier")
+
+# Twenty families of procedure codes by shares of u2 % 100, then clusters (20) and pharmacies (21);
+# ten codes each, by the last digit of the part (for clusters, of u1).
+CODE_FAMILIES = (
+    *[[f"CPT-99{201 + digit % 5}" for digit in range(10)]] * 7,
+    *[[f"CPT-70{100 + digit % 5}" for digit in range(10)]] * 4,
+    *[[f"CPT-{2 + digit % 5}100" for digit in range(10)]] * 3,
+    *[[f"HCPCS-E0{110 + digit}" for digit in range(10)]] * 2,
+    *[[f"CPT-80{100 + digit % 5}" for digit in range(10)]] * 4,
+    [f"HCPCS-E010{digit % 2}" for digit in range(10)],
+    [f"RX-0{1000 + digit % 5}" for digit in range(10)],
+)
+CODES = _array(*[code for family in CODE_FAMILIES for code in family])
+# Seven first diagnoses, each followed by one of eleven others or by none.
+DIAGNOSES = _array(
+    *[
+        f'["DX-{1000 + first}{other}"]'
+        for first in range(7)
+        for other in [*[f'", "DX-{2000 + i}' for i in range(11)], ""]
+    ]
+)
+
+# Each layer uses the columns of the layer before.
+NUMBERS = {
+    "u1": "(l_orderkey * 131 + l_linenumber * 17 + l_partkey * 7 + l_suppkey) % 1000",
+    "u2": "(l_orderkey * 37 + l_linenumber * 101 + l_partkey * 13 + l_suppkey * 3) % 1009",
+    "u3": "(l_orderkey * 59 + l_linenumber + l_partkey * 29 + l_suppkey * 5) % 997",
+    "prov": "if(l_partkey % 10 = 0, l_suppkey - l_suppkey % 20, l_suppkey)",
+}
+REMAINDERS = {
+    "cluster": "prov % 20 = 0",
+    "u1_100": "u1 % 100",
+    "u2_100": "u2 % 100",
+    "u3_100": "u3 % 100",
+    "payer": "CAST(u2 % 20 AS INT)",
+    "reason": "CAST(u2 % 6 AS INT)",
+    "region": "CAST(prov % 4 AS INT)",
+    "delay": "CAST(u2 % 30 AS INT)",
+}
+BASICS = {
+    "denied": "NOT cluster AND u3_100 < 12",
+    "authorized": "NOT cluster AND u2 % 4 = 1",
+    "claim_type": "CASE WHEN cluster OR u1_100 < 60 THEN 'Professional' WHEN u1_100 < 85 THEN 'Institutional' ELSE 'Pharmacy' END",
+    "service_date": "if(cluster, DATE '2001-08-01' + CAST(u1 % 60 AS INT), CAST(l_shipdate AS DATE))",
+    "allowed_amount": "floor(l_extendedprice * if(prov % 20 = 7, 5, 40 + u1 % 56)) / 100",
+}
+KINDS = {"code_kind": "CAST(if(cluster, 20, if(claim_type = 'Pharmacy', 21, u2_100 DIV 5)) AS INT)"}
+COLUMNS = {
+    "claim_id": "concat_ws('-', 'CLM', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
+    "member_id": "concat('MEM-', o_custkey)",
+    "provider_id": "concat('PROV-', prov)",
+    "facility_id": "if(u2 % 10 >= 3, concat('FAC-', prov % 20), NULL)",
+    "payer_product": f"get({PAYERS}, payer)",
+    "plan_type": f"get({PLANS}, CAST(u3 % 4 AS INT))",
+    "line_of_business": f"get({LINES}, payer)",
+    "service_date": "service_date",
+    "claim_received_date": "service_date + (1 + delay)",
+    "paid_date": "if(u3 % 20 = 0, NULL, service_date + (15 + delay + CAST(u1 % 77 AS INT)))",
+    "claim_type": "claim_type",
+    "place_of_service": f"get({PLACES}, CAST(if(cluster, 3, u1 % 3) AS INT))",
+    "diagnosis_codes": f"get({DIAGNOSES}, CAST(u2 % 7 * 12 + if(u3 % 3 = 0, 11, u1 % 11) AS INT))",
+    "procedure_code": f"get({CODES}, code_kind * 10 + CAST(if(cluster, u1, l_partkey) % 10 AS INT))",
+    "revenue_code": "if(claim_type = 'Institutional', concat('0', 100 + u3 % 800), NULL)",
+    "billed_amount": "l_extendedprice",
+    "allowed_amount": "allowed_amount",
+    "paid_amount": "if(denied, 0D, floor(allowed_amount * 90) / 100)",
+    "units": "CAST(l_quantity AS BIGINT)",
+    "network_status": "if(if(cluster, u3_100 < 95, u3 % 10 = 3), 'OON', 'INN')",
+    "authorization_required": "if(authorized, 'Y', 'N')",
+    "authorization_id": "if(authorized AND u1 % 10 > 0, concat('AUTH-', u1), NULL)",
+    "denial_flag": "if(denied, 'Y', 'N')",
+    "denial_reason_category": f"if(denied, get({REASONS}, reason), NULL)",
+    "appeal_flag": f"if(u1_100 < get({APPEAL_SHARES}, if(denied, reason, 6)), 'Y', 'N')",
+    "grievance_flag": "if(u2 % 50 = 7, 'Y', 'N')",
+    "dme_flag": "if(code_kind IN (14, 15, 20), 'Y', 'N')",
+    "supplier_type": "if(cluster, 'DME Supplier', NULL)",
+    "rendering_npi": "concat('NPI', prov)",
+    "billing_npi": "concat('NPI', prov)",
+    "geography_state": f"get({STATES}, region)",
+    "geography_region": f"get({REGIONS}, region)",
+    "specialty": f"get({SPECIALTIES}, CAST(if(cluster, 3, prov % 3) AS INT))",
+}
 
-    order, line, part, supplier = (
-        F.col(name) for name in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    )
-    numbered = joined.withColumns(
-        {
-            "u1": (order * 131 + line * 17 + part * 7 + supplier) % 1000,
-            "u2": (order * 37 + line * 101 + part * 13 + supplier * 3) % 1009,
-            "u3": (order * 59 + line + part * 29 + supplier * 5) % 997,
-            "prov": F.when(part % 10 == 0, supplier - supplier % 20).otherwise(supplier),
-        }
-    )
-    u1, u2, u3, prov = (F.col(name) for name in ("u1", "u2", "u3", "prov"))
-    cluster = prov % 20 == 0
-    denied = ~cluster & (u3 % 100 < 12)
-    marked = numbered.withColumns(
-        {
-            "claim_type": F.when(cluster | (u1 % 100 < 60), "Professional")
-            .when(u1 % 100 < 85, "Institutional")
-            .otherwise("Pharmacy"),
-            "service_date": F.when(
-                cluster, F.date_add(F.lit("2001-08-01").cast("date"), (u1 % 60).cast("int"))
-            ).otherwise(F.col("l_shipdate").cast("date")),
-            "allowed_amount": F.floor(
-                F.col("l_extendedprice") * F.when(prov % 20 == 7, 5).otherwise(40 + u1 % 56)
-            )
-            / 100,
-        }
-    )
 
-    kind, served, allowed = F.col("claim_type"), F.col("service_date"), F.col("allowed_amount")
-    reason_code = u2 % 6
-    reason = (
-        F.when(reason_code == 0, "medical_necessity")
-        .when(reason_code == 1, "not_covered")
-        .when(reason_code == 2, "authorization_missing")
-        .when(reason_code == 3, "coding_error")
-        .when(reason_code == 4, "duplicate")
-        .otherwise("untimely_filing")
-    )
-    appeal_share = (
-        F.when(reason_code == 0, 40)
-        .when(reason_code == 1, 15)
-        .when(reason_code == 2, 30)
-        .when(reason_code == 3, 10)
-        .when(reason_code == 4, 5)
-        .otherwise(2)
-    )
-    needs_authorization = ~cluster & (u2 % 4 == 1)
-    region = prov % 4
+def _spread(lines: DataFrame) -> DataFrame:
+    """Give every core a share of a line table with fewer splits than the session has cores.
 
-    def code(prefix: str, number: Column) -> Column:
-        return F.concat(F.lit(prefix), number.cast("string"))
+    Such a table is small by definition; larger ones are not shuffled here.
+    """
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores, "l_orderkey") if lines.rdd.getNumPartitions() < cores else lines
 
-    columns = {
-        "claim_id": F.concat_ws("-", F.lit("CLM"), order, line, part, supplier),
-        "member_id": code("MEM-", F.col("o_custkey")),
-        "provider_id": code("PROV-", prov),
-        "facility_id": F.when(u2 % 10 >= 3, code("FAC-", prov % 20)),
-        "payer_product": _pick(u2 % 20, (9, "Commercial"), (14, "Medicare"), (18, "Medicaid"), "Exchange"),
-        "plan_type": _pick(u3 % 4, (1, "HMO"), (2, "PPO"), (3, "POS"), "EPO"),
-        "line_of_business": _pick(u2 % 20, (9, "Group"), (14, "Medicare"), (18, "Medicaid"), "Individual"),
-        "service_date": served,
-        "claim_received_date": F.date_add(served, (1 + u2 % 30).cast("int")),
-        "paid_date": F.when(u3 % 20 != 0, F.date_add(served, (15 + u2 % 30 + u1 % 77).cast("int"))),
-        "claim_type": kind,
-        "place_of_service": F.when(cluster, "12").otherwise(_pick(u1 % 3, (1, "11"), (2, "21"), "23")),
-        "diagnosis_codes": F.when(u3 % 3 == 0, F.concat(code('["DX-', 1000 + u2 % 7), F.lit('"]'))).otherwise(
-            F.concat(code('["DX-', 1000 + u2 % 7), code('", "DX-', 2000 + u1 % 11), F.lit('"]'))
-        ),
-        "procedure_code": F.when(cluster, code("HCPCS-E010", u1 % 2))
-        .when(kind == "Pharmacy", code("RX-0", 1000 + part % 5))
-        .when(u2 % 100 < 35, code("CPT-99", 201 + part % 5))
-        .when(u2 % 100 < 55, code("CPT-70", 100 + part % 5))
-        .when(u2 % 100 < 70, F.concat(code("CPT-", 2 + part % 5), F.lit("100")))
-        .when(u2 % 100 < 80, code("HCPCS-E0", 110 + part % 10))
-        .otherwise(code("CPT-80", 100 + part % 5)),
-        "revenue_code": F.when(kind == "Institutional", code("0", 100 + u3 % 800)),
-        "billed_amount": F.col("l_extendedprice"),
-        "allowed_amount": allowed,
-        "paid_amount": F.when(denied, 0.0).otherwise(F.floor(allowed * 90) / 100),
-        "units": F.col("l_quantity"),
-        "network_status": F.when(
-            (cluster & (u3 % 100 < 95)) | (~cluster & (u3 % 10 == 3)), "OON"
-        ).otherwise("INN"),
-        "authorization_required": F.when(needs_authorization, "Y").otherwise("N"),
-        "authorization_id": F.when(needs_authorization & (u1 % 10 > 0), code("AUTH-", u1)),
-        "denial_flag": F.when(denied, "Y").otherwise("N"),
-        "denial_reason_category": F.when(denied, reason),
-        "appeal_flag": F.when(denied & (u1 % 100 < appeal_share), "Y").otherwise("N"),
-        "grievance_flag": F.when(u2 % 50 == 7, "Y").otherwise("N"),
-        "dme_flag": F.when(cluster | ((kind != "Pharmacy") & (u2 % 100).between(70, 79)), "Y").otherwise("N"),
-        "supplier_type": F.when(cluster, "DME Supplier"),
-        "rendering_npi": code("NPI", prov),
-        "billing_npi": code("NPI", prov),
-        "geography_state": _pick(region, (1, "PA"), (2, "FL"), (3, "OH"), "CA"),
-        "geography_region": _pick(region, (1, "Northeast"), (2, "Southeast"), (3, "Midwest"), "West"),
-        "specialty": F.when(cluster, "DME Supplier").otherwise(
-            _pick(prov % 3, (1, "Radiology"), (2, "Cardiology"), "Orthopedics")
-        ),
-    }
-    return marked.select(*[columns[field.name].cast(field.dataType).alias(field.name) for field in CLAIMS])
+
+def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    # Customer keys are unique, so keeping the orders that have a customer equals joining them.
+    owned = orders.join(customers, orders.o_custkey == customers.c_custkey, "left_semi")
+    layered = lines.join(owned, lines.l_orderkey == owned.o_orderkey)
+    for layer in (NUMBERS, REMAINDERS, BASICS, KINDS):
+        layered = layered.selectExpr("*", *[f"{text} AS {name}" for name, text in layer.items()])
+    return layered.selectExpr(*[f"{COLUMNS[field.name]} AS {field.name}" for field in CLAIMS])
