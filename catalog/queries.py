@@ -88,8 +88,21 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(features.provider_features(order_claims(spark, sf_dir)), "provider-features")
 
 
+def stored_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims columns that policies depend on, derived and written once.
+
+    Seeds, matching and KPIs pass over the claims several times; a scan of a stored table is
+    cheaper than deriving claims anew for every pass.
+    """
+    columns = (
+        "claim_id", "procedure_code", "claim_type", "specialty", "diagnosis_codes", "billed_amount",
+        "allowed_amount", "denial_flag",
+    )
+    return materialize(order_claims(spark, sf_dir).select(*columns), "claims")
+
+
 def cluster_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds.policy_seeds(order_claims(spark, sf_dir))
+    return seeds.policy_seeds(stored_claims(spark, sf_dir))
 
 
 def external_rows(claims: DataFrame) -> DataFrame:
@@ -164,7 +177,7 @@ def write_policy_docs(spark, sf_dir):
 
 @query
 def load_policy_rules(spark, sf_dir):
-    rules = rules_from_claims(order_claims(spark, sf_dir))
+    rules = rules_from_claims(stored_claims(spark, sf_dir))
     path = policies.write_policy_rules(rules, scratch_path(spark, "policy-rules"))
     return policies.load_policy_rules(spark, path).select(
         "policy_id", "site_of_service", as_text("diagnosis_constraints").alias("diagnosis_constraints"), "source_file"
@@ -303,7 +316,7 @@ def policy_seeds(spark, sf_dir):
 
 @query
 def sort_seeds(spark, sf_dir):
-    ranked = seeds.sort_seeds(seeds.policy_seeds(order_claims(spark, sf_dir), min_claims=1, top_n_dx=1))
+    ranked = seeds.sort_seeds(seeds.policy_seeds(stored_claims(spark, sf_dir), min_claims=1, top_n_dx=1))
     return ranked.select("procedure_code", "claim_type", "specialty", "n_claims", "p50_claim_amount")
 
 
@@ -327,7 +340,7 @@ def top_k_codes(spark, sf_dir):
 
 @query
 def policy_kpis(spark, sf_dir):
-    claims = order_claims(spark, sf_dir)
+    claims = stored_claims(spark, sf_dir)
     rows = kpis_from_claims(claims, rules_from_claims(claims))
     return rows.withColumns({"top_dx": as_text("top_dx"), "top_specialties": as_text("top_specialties")})
 
@@ -391,14 +404,14 @@ def provider_peer_stats(spark, sf_dir):
 @query
 def match_score(spark, sf_dir):
     """Each claim against the rule of its own cluster."""
-    claims = order_claims(spark, sf_dir).withColumn("source_file", policy_docs.policy_file_name())
+    claims = stored_claims(spark, sf_dir).withColumn("source_file", policy_docs.policy_file_name())
     pairs = join_groups(claims, rules_from_claims(claims), ["source_file"], "inner")
     return matching.match_score(pairs).select("claim_id", "policy_id", "match_confidence")
 
 
 @query
 def match_claims_to_policies(spark, sf_dir):
-    claims = order_claims(spark, sf_dir)
+    claims = stored_claims(spark, sf_dir)
     matched = matching.match_claims_to_policies(claims, rules_from_claims(claims))
     return matched.select("claim_id", "procedure_code", "policy_id", "match_confidence")
 
@@ -406,7 +419,7 @@ def match_claims_to_policies(spark, sf_dir):
 @query
 def match_claims_by_join(spark, sf_dir):
     """The same with the strategy for rule sets beyond broadcast size."""
-    claims = order_claims(spark, sf_dir)
+    claims = stored_claims(spark, sf_dir)
     matched = matching.match_claims_to_policies(claims, rules_from_claims(claims), broadcast_entries=0)
     return matched.select("claim_id", "procedure_code", "policy_id", "match_confidence")
 
@@ -416,7 +429,7 @@ def match_claims_by_join(spark, sf_dir):
 
 @query
 def rank_policies(spark, sf_dir):
-    claims = order_claims(spark, sf_dir)
+    claims = stored_claims(spark, sf_dir)
     return kpis.rank_policies(kpis_from_claims(claims, rules_from_claims(claims)), "denial_rate")
 
 
@@ -429,7 +442,7 @@ def append_claims(spark, sf_dir):
 
 @query
 def code_reconciliation(spark, sf_dir):
-    claims = order_claims(spark, sf_dir)
+    claims = stored_claims(spark, sf_dir)
     tagged = features.tag_service_category(claims)
     return reconcile.code_reconciliation(
         {"claims": claims, "enriched": tagged, "seeds": seeds.policy_seeds(claims, min_claims=100)}
@@ -494,7 +507,7 @@ def render_policy_docs(spark, sf_dir):
 
 @query
 def parse_policy_docs(spark, sf_dir):
-    rules = rules_from_claims(order_claims(spark, sf_dir))
+    rules = rules_from_claims(stored_claims(spark, sf_dir))
     lists = ("covered_cpt_codes", "diagnosis_constraints", "documentation_requirements")
     return rules.withColumns({name: as_text(name) for name in lists})
 
@@ -550,11 +563,11 @@ def report_benchmarks(spark, sf_dir):
 
 @query
 def report_policy_insights(spark, sf_dir):
-    claims = order_claims(spark, sf_dir)
+    claims = stored_claims(spark, sf_dir)
     return kpis.rank_policies(kpis_from_claims(claims, rules_from_claims(claims)))
 
 
 @query
 def match_counts(spark, sf_dir):
-    claims = order_claims(spark, sf_dir)
+    claims = stored_claims(spark, sf_dir)
     return kpis.match_counts(kpis_from_claims(claims, rules_from_claims(claims)))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimgauge.functions import money
+from claimgauge.functions.codes import diagnosis_list
 from claimgauge.functions.ratios import count_where, rate
 from claimgauge.functions.text import grouped, percent
-from claimgauge.operators.joins import join_groups
 from claimgauge.operators.matching import UNMATCHED
-from claimgauge.operators.top_codes import top_k_codes
 
 TOP = 5
 SHOWN = 3
@@ -27,44 +26,65 @@ def claim_amount() -> Column:
 def policy_kpis(matched: DataFrame) -> DataFrame:
     """One row per policy with volume, amounts, rates and its most frequent codes and specialties.
 
-    Claims are first reduced to policy and specialty, which yields both the totals and the top
-    specialties from one pass; a policy that holds most claims is summed on the map side.
+    Matching is the costly part of such a plan, so claims are read once: each one yields an entry
+    for its specialty, with the amounts, and one per diagnosis code. Entries are summed on the map
+    side, which leaves a row per policy and code, however many claims a policy holds.
     """
-    named = F.coalesce(F.col("specialty"), F.lit("")) != ""
-    by_specialty = (
-        matched.withColumn("amount", claim_amount())
-        .groupBy("policy_id", "specialty")
+    nothing = F.lit(None)
+    by_specialty = F.struct(
+        F.lit("specialty").alias("kind"),
+        F.col("specialty").alias("code"),
+        claim_amount().alias("amount"),
+        (F.col("denial_flag") == "Y").alias("denied"),
+    )
+    by_diagnosis = F.transform(
+        F.coalesce(diagnosis_list(F.col("diagnosis_codes")), F.array().cast("array<string>")),
+        lambda code: F.struct(
+            F.lit("diagnosis").alias("kind"),
+            code.alias("code"),
+            nothing.cast("double").alias("amount"),
+            nothing.cast("boolean").alias("denied"),
+        ),
+    )
+    counted = (
+        matched.select("policy_id", F.explode(F.concat(F.array(by_specialty), by_diagnosis)).alias("entry"))
+        .groupBy("policy_id", "entry.kind", "entry.code")
         .agg(
             F.count("*").alias("n"),
-            *money.sum_parts("amount", "amount"),
-            count_where(F.col("denial_flag") == "Y").alias("denials"),
+            *money.sum_parts("entry.amount", "amount"),
+            count_where(F.col("entry.denied")).alias("denials"),
         )
     )
-    place = F.row_number().over(
-        Window.partitionBy("policy_id").orderBy(F.desc(named), F.desc("n"), "specialty")
-    )
-    shown = F.when(named & (F.col("place") <= TOP), F.struct("place", "specialty"))
-    totals = (
-        by_specialty.withColumn("place", place)
+    named = F.coalesce(F.col("code"), F.lit("")) != ""
+    place = F.row_number().over(Window.partitionBy("policy_id", "kind").orderBy(F.desc(named), F.desc("n"), "code"))
+    shown = named & (F.col("place") <= TOP)
+    claims = F.col("kind") == "specialty"
+
+    def top(condition: Column) -> Column:
+        places = F.collect_list(F.when(shown & condition, F.struct("place", "code")))
+        return F.transform(F.array_sort(places), lambda x: x["code"])
+
+    n, denials = F.col("n_claims"), F.col("denials")
+    return (
+        counted.withColumn("place", place)
         .groupBy("policy_id")
         .agg(
-            F.sum("n").alias("n_claims"),
+            F.sum(F.when(claims, F.col("n"))).alias("n_claims"),
             *money.merge_parts("amount"),
             F.sum("denials").alias("denials"),
-            F.array_sort(F.collect_list(shown)).alias("specialties"),
+            top(~claims).alias("top_dx"),
+            top(claims).alias("top_specialties"),
+        )
+        .select(
+            "policy_id",
+            "n_claims",
+            F.round(money.total("amount"), 2).alias("total_amount"),
+            F.round(rate(money.total("amount"), n), 2).alias("avg_amount"),
+            F.round(rate(n - denials, n), 4).alias("approval_rate"),
+            F.round(rate(denials, n), 4).alias("denial_rate"),
+            "top_dx",
+            "top_specialties",
         )
-    )
-    n, denials = F.col("n_claims"), F.col("denials")
-    diagnoses = top_k_codes(matched, ["policy_id"], TOP, "top_dx")
-    return join_groups(totals, diagnoses, ["policy_id"]).select(
-        "policy_id",
-        "n_claims",
-        F.round(money.total("amount"), 2).alias("total_amount"),
-        F.round(rate(money.total("amount"), n), 2).alias("avg_amount"),
-        F.round(rate(n - denials, n), 4).alias("approval_rate"),
-        F.round(rate(denials, n), 4).alias("denial_rate"),
-        F.coalesce(F.transform("top_dx", lambda x: x["code"]), F.array().cast("array<string>")).alias("top_dx"),
-        F.transform("specialties", lambda x: x["specialty"]).alias("top_specialties"),
     )
 
 

@@ -75,8 +75,20 @@ def _by_keys(indexed: DataFrame, keys: list[str]) -> DataFrame:
     return indexed.dropna(subset=keys) if keys else indexed
 
 
+def _tenths(keys: list[str]) -> int:
+    return CODE_TENTHS * ("code" in keys) + SITE_TENTHS * ("site" in keys)
+
+
+def _first_rule(tenths: int) -> Column:
+    """The earliest rule of a group, together with the total it scores there."""
+    best = F.min("best")
+    return F.struct(
+        best["place"].alias("place"), best["policy_id"].alias("policy_id"), F.lit(tenths).alias("tenths")
+    ).alias("earliest")
+
+
 def _earliest(indexed: DataFrame, keys: list[str]) -> DataFrame:
-    return _by_keys(indexed, keys).groupBy(*keys).agg(F.min("best").alias("earliest"))
+    return _by_keys(indexed, keys).groupBy(*keys).agg(_first_rule(_tenths(keys)))
 
 
 def _earliest_by_diagnosis(indexed: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,7 +97,7 @@ def _earliest_by_diagnosis(indexed: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("diagnosis", F.explode("diagnoses"))
         .where(F.col("diagnosis").isNotNull())
         .groupBy(*keys, "diagnosis")
-        .agg(F.min("best").alias("earliest"))
+        .agg(_first_rule(_tenths(keys) + DIAGNOSIS_TENTHS))
     )
 
 
@@ -115,31 +127,25 @@ def _packed_index(indexed: DataFrame, keys: list[str]) -> DataFrame:
     return earliest.join(packed, keys, "left") if keys else packed.where("slots IS NOT NULL")
 
 
-def _best_level(levels: list[tuple[int, Column]]) -> Column:
-    """The first level that found a rule, as ``struct<tenths, rule>``."""
+def _best(any_rule: dict[str, Column], diagnosis_rule: dict[str, Column]) -> Column:
+    """The rule of the first level that has one; later levels are not even looked at."""
     return F.coalesce(
-        *[F.when(rule.isNotNull(), F.struct(F.lit(tenths).alias("tenths"), rule.alias("rule"))) for tenths, rule in levels]
+        diagnosis_rule["code_site"],
+        F.least(any_rule["code_site"], diagnosis_rule["code"]),
+        any_rule["code"],
+        diagnosis_rule["site"],
+        F.least(any_rule["site"], diagnosis_rule["anywhere"]),
     )
 
 
-def _levels(any_rule: dict[str, Column], diagnosis_rule: dict[str, Column]) -> list[tuple[int, Column]]:
-    """Totals from the highest down, each with the earliest rule that reaches it."""
+def _assignments() -> list[Column]:
+    best = F.col("best")
     return [
-        (CODE_TENTHS + SITE_TENTHS + DIAGNOSIS_TENTHS, diagnosis_rule["code_site"]),
-        (CODE_TENTHS + SITE_TENTHS, F.least(any_rule["code_site"], diagnosis_rule["code"])),
-        (CODE_TENTHS, any_rule["code"]),
-        (SITE_TENTHS + DIAGNOSIS_TENTHS, diagnosis_rule["site"]),
-        (SITE_TENTHS, F.least(any_rule["site"], diagnosis_rule["anywhere"])),
+        F.coalesce(best["policy_id"], F.lit(UNMATCHED)).alias("policy_id"),
+        (F.coalesce(best["tenths"], F.lit(0)) / 10).alias("match_confidence"),
     ]
 
 
-def _assignments(best: Column) -> dict[str, Column]:
-    return {
-        "policy_id": F.coalesce(best["rule"]["policy_id"], F.lit(UNMATCHED)),
-        "match_confidence": F.coalesce(best["tenths"], F.lit(0)) / 10,
-    }
-
-
 def _match_by_broadcast(claims: DataFrame, indexed: DataFrame) -> DataFrame:
     """Look every claim up in broadcast indexes, in place."""
     # The rules are small here: one partition spares the shuffles of the index aggregations.
@@ -164,11 +170,8 @@ def _match_by_broadcast(claims: DataFrame, indexed: DataFrame) -> DataFrame:
         return F.when(slots.isNotNull(), F.array_min(rule))
 
     any_rule = {level: F.col(level)["earliest"] for level in LEVELS if LEVELS[level]}
-    best = _best_level(_levels(any_rule, {level: by_diagnosis(level) for level in LEVELS}))
-    return found.withColumn("best", best).select(
-        *[F.col(name) for name in claims.columns],
-        *[value.alias(name) for name, value in _assignments(F.col("best")).items()],
-    )
+    best = _best(any_rule, {level: by_diagnosis(level) for level in LEVELS})
+    return found.withColumn("best", best).select(*claims.columns, *_assignments())
 
 
 def _match_by_join(claims: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -195,13 +198,11 @@ def _match_by_join(claims: DataFrame, indexed: DataFrame) -> DataFrame:
             )
             on = [F.col(CLAIM_COLUMN[k]) == F.col(f"{level}_{k}") for k in keys]
             found = found.join(index, reduce(lambda a, b: a & b, on), "left").drop(*[f"{level}_{k}" for k in keys])
-    levels = _levels(
+    best = _best(
         {level: F.col(level) for level in LEVELS if LEVELS[level]},
         {level: F.col(f"dx_{level}") for level in LEVELS},
     )
-    assigned = found.withColumn("best", _best_level(levels)).select(
-        *CLAIM_KEYS, *[value.alias(name) for name, value in _assignments(F.col("best")).items()]
-    )
+    assigned = found.withColumn("best", best).select(*CLAIM_KEYS, *_assignments())
     return join_groups(claims, assigned, CLAIM_KEYS)
 
 
