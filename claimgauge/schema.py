@@ -4,8 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {
+    "STRING": T.StringType(),
+    "DATE": T.DateType(),
+    "DOUBLE": T.DoubleType(),
+    "BIGINT": T.LongType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Nullable columns from ``name TYPE`` pairs; needs no running session, unlike a DDL string."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 # Column names and types of a claims table.
-CLAIMS = T.StructType.fromDDL(
+CLAIMS = _struct(
     """
     claim_id STRING, member_id STRING, provider_id STRING, facility_id STRING,
     payer_product STRING, plan_type STRING, line_of_business STRING,
@@ -65,9 +80,9 @@ DENIAL_REASONS = (
     "untimely_filing",
 )
 
-CODE_COUNTS = T.ArrayType(T.StructType.fromDDL("code STRING, count BIGINT"))
+CODE_COUNTS = T.ArrayType(_struct("code STRING, count BIGINT"))
 
-POLICY_RULE = T.StructType.fromDDL(
+POLICY_RULE = _struct(
     """
     policy_id STRING, covered_cpt_codes ARRAY<STRING>, site_of_service STRING,
     diagnosis_constraints ARRAY<STRING>, documentation_requirements ARRAY<STRING>,
