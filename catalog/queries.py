@@ -88,16 +88,19 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(features.provider_features(order_claims(spark, sf_dir)), "provider-features")
 
 
-def stored_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The claims columns that policies depend on, derived and written once.
+POLICY_COLUMNS = (
+    "claim_id", "procedure_code", "claim_type", "specialty", "diagnosis_codes", "billed_amount", "allowed_amount",
+    "denial_flag",
+)
+IMPACT_COLUMNS = ("procedure_code", "service_date", "allowed_amount", "denial_flag", "network_status")
 
-    Seeds, matching and KPIs pass over the claims several times; a scan of a stored table is
-    cheaper than deriving claims anew for every pass.
+
+def stored_claims(spark: SparkSession, sf_dir: str, columns=POLICY_COLUMNS) -> DataFrame:
+    """The needed claims columns, derived and written once.
+
+    For plans that pass over the claims several times or test derived columns many times: the
+    scan of a stored table is cheaper than deriving claims anew, and its filters reach the reader.
     """
-    columns = (
-        "claim_id", "procedure_code", "claim_type", "specialty", "diagnosis_codes", "billed_amount",
-        "allowed_amount", "denial_flag",
-    )
     return materialize(order_claims(spark, sf_dir).select(*columns), "claims")
 
 
@@ -387,7 +390,7 @@ def period_metrics(spark, sf_dir):
 
 @query
 def policy_impact(spark, sf_dir):
-    impact = policy_events.policy_impact(order_claims(spark, sf_dir), EVENTS)
+    impact = policy_events.policy_impact(stored_claims(spark, sf_dir, IMPACT_COLUMNS), EVENTS)
     return impact.withColumn("affected_services", as_text("affected_services"))
 
 
@@ -553,7 +556,7 @@ def flag_counts(spark, sf_dir):
 
 @query
 def report_policy_impact(spark, sf_dir):
-    return report_tables.report_policy_impact(order_claims(spark, sf_dir), EVENTS)
+    return report_tables.report_policy_impact(stored_claims(spark, sf_dir, IMPACT_COLUMNS), EVENTS)
 
 
 @query

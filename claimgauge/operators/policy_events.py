@@ -19,6 +19,7 @@ from claimgauge.functions.text import percent
 
 PERIODS = ("pre", "post")
 METRICS = ("volume", "total_allowed", "avg_allowed", "denial_rate", "oon_rate")
+NO_METRICS = "struct<volume:bigint,total_allowed:double,avg_allowed:double,denial_rate:double,oon_rate:double>"
 
 
 def prefix_filter(claims: DataFrame, prefixes) -> DataFrame:
@@ -118,25 +119,18 @@ def policy_impact(
     A claim that two prefixes of one event cover counts once; events without claims get zeros.
     """
     table = _event_table(claims, events)
-    hits = []
+    conditions, periods = [], []
     for position, event in enumerate(events):
+        windows = _windows(event.effective_date, config.rebound_window_weeks)
         covered = has_any_prefix(F.col("procedure_code"), event.affected_procedure_prefixes)
-        for period, inside in _windows(event.effective_date, config.rebound_window_weeks).items():
-            hits.append((covered & inside, position, period))
-    relevant = reduce(lambda a, b: a | b, [condition for condition, _, _ in hits], F.lit(False))
-    matches = F.array_compact(
-        F.array(
-            *[
-                F.when(condition, F.struct(F.lit(position).alias("position"), F.lit(period).alias("period")))
-                for condition, position, period in hits
-            ]
-        )
-    )
-    if hits:
-        # A null code or date meets no condition, so no null ever reaches the explode.
+        conditions.append(covered & (windows["pre"] | windows["post"]))
+        period = F.when(covered & windows["pre"], "pre").when(covered & windows["post"], "post")
+        periods.append(F.struct(F.lit(position).alias("position"), period.alias("period")))
+    if events:
         measured = (
-            claims.where(relevant)
-            .withColumn("hit", F.explode(matches))
+            claims.where(reduce(lambda a, b: a | b, conditions))
+            .withColumn("hit", F.explode(F.array(*periods)))
+            .where(F.col("hit.period").isNotNull())
             .groupBy("hit.position", "hit.period")
             .agg(*_measures())
             .select("position", "period", F.struct(*[v.alias(m) for m, v in _metric_columns().items()]).alias("m"))
@@ -145,7 +139,8 @@ def policy_impact(
             .agg(F.first("m"))
         )
     else:
-        measured = table.select("position", *[F.lit(None).cast("struct<volume:bigint,total_allowed:double,avg_allowed:double,denial_rate:double,oon_rate:double>").alias(p) for p in PERIODS])
+        no_metrics = F.lit(None).cast(NO_METRICS)
+        measured = table.select("position", *[no_metrics.alias(period) for period in PERIODS])
 
     def metric(period: str, name: str) -> Column:
         zero = F.lit(0).cast("long") if name == "volume" else F.lit(0.0)

@@ -19,7 +19,6 @@ BASE = {
     "plan_type": "PPO",
     "line_of_business": "Group",
     "service_date": dt.date(2024, 1, 15),
-    "claim_received_date": dt.date(2024, 1, 20),
     "claim_type": "Professional",
     "place_of_service": "11",
     "diagnosis_codes": '["DX-1"]',
@@ -64,10 +63,11 @@ def make_claims(spark):
     """A claims table from partial rows; everything left out has an ordinary value."""
 
     def make(*rows):
-        full = [
-            tuple({**BASE, "claim_id": f"C{i}", **row}.get(name) for name in CLAIMS.names)
-            for i, row in enumerate(rows, 1)
-        ]
+        full = []
+        for i, row in enumerate(rows, 1):
+            claim = {**BASE, "claim_id": f"C{i}", **row}
+            claim.setdefault("claim_received_date", claim["service_date"] + dt.timedelta(5))
+            full.append(tuple(claim.get(name) for name in CLAIMS.names))
         return spark.createDataFrame(full, CLAIMS)
 
     return make
