@@ -68,7 +68,7 @@ def test_median_per_group_and_overall(table, groups):
 
 def test_no_values(spark):
     empty = spark.createDataFrame([], "v DOUBLE")
-    assert exact_median(empty, [], "v", "m").collect()[0]["m"] is None if exact_median(empty, [], "v", "m").count() else True
+    assert [r["m"] for r in exact_median(empty, [], "v", "m").collect()] in ([], [None])
 
 
 def test_buckets_keep_order(spark):
