@@ -326,13 +326,17 @@ def sort_seeds(spark, sf_dir):
 @query
 def nearest_quantile(spark, sf_dir):
     return order_stats.nearest_quantiles(
-        order_claims(spark, sf_dir), ["claim_type", "specialty"], "allowed_amount", {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+        stored_claims(spark, sf_dir, ("claim_type", "specialty", "allowed_amount")),
+        ["claim_type", "specialty"],
+        "allowed_amount",
+        {"p10": 0.1, "p50": 0.5, "p90": 0.9},
     )
 
 
 @query
 def exact_median(spark, sf_dir):
-    return order_stats.exact_median(order_claims(spark, sf_dir), ["provider_id"], "billed_amount", "median_billed")
+    amounts = stored_claims(spark, sf_dir, ("provider_id", "billed_amount"))
+    return order_stats.exact_median(amounts, ["provider_id"], "billed_amount", "median_billed")
 
 
 @query
@@ -454,7 +458,7 @@ def code_reconciliation(spark, sf_dir):
 
 @query
 def concentration_share(spark, sf_dir):
-    return reconcile.concentration_share(order_claims(spark, sf_dir))
+    return reconcile.concentration_share(stored_claims(spark, sf_dir, ("billed_amount",)))
 
 
 # Detection
