@@ -27,7 +27,3 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def is_finite(value: Column) -> Column:
     """True for a number that is neither null, NaN nor infinite."""
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-
-
-def round_to(value: Column, places: int) -> Column:
-    return F.round(value, places)
