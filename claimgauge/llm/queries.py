@@ -1,6 +1,7 @@
 """The registered query of every operator, and its SQL where SQL can express it."""
 
 from claimgauge.llm.quality_rules import OP9_SQL, op9_quality_rules
+from claimgauge.llm.simhash_dedup import op3_simhash_dedup
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+QUERIES = {"op3_simhash_dedup": op3_simhash_dedup, "op9_quality_rules": op9_quality_rules}
 ORACLE = {"op9_quality_rules": OP9_SQL}
