@@ -1,7 +1,12 @@
 """The registered query of every operator, and its SQL where SQL can express it."""
 
+from claimgauge.llm.decontaminate import OP10_SQL, op10_decontaminate
 from claimgauge.llm.quality_rules import OP9_SQL, op9_quality_rules
 from claimgauge.llm.simhash_dedup import op3_simhash_dedup
 
-QUERIES = {"op3_simhash_dedup": op3_simhash_dedup, "op9_quality_rules": op9_quality_rules}
-ORACLE = {"op9_quality_rules": OP9_SQL}
+QUERIES = {
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLE = {"op9_quality_rules": OP9_SQL, "op10_decontaminate": OP10_SQL}
