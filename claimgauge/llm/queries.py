@@ -4,10 +4,12 @@ from claimgauge.llm.decontaminate import OP10_SQL, op10_decontaminate
 from claimgauge.llm.packing import op4_packing
 from claimgauge.llm.quality_rules import OP9_SQL, op9_quality_rules
 from claimgauge.llm.simhash_dedup import op3_simhash_dedup
+from claimgauge.llm.token_files import op5_token_files
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_packing": op4_packing,
+    "op5_token_files": op5_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
