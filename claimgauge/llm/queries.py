@@ -5,14 +5,16 @@ from claimgauge.llm.packing import op4_packing
 from claimgauge.llm.quality_rules import OP9_SQL, op9_quality_rules
 from claimgauge.llm.simhash_dedup import op3_simhash_dedup
 from claimgauge.llm.token_files import op5_token_files
+from claimgauge.llm.url_filter import OP6_SQL, op6_url_filter
 from claimgauge.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
+    "op6_url_filter": op6_url_filter,
     "op7_warc": op7_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE = {"op7_warc": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE = {"op6_url_filter": OP6_SQL, "op7_warc": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_decontaminate": OP10_SQL}
