@@ -1,6 +1,7 @@
 """The registered query of every operator, and its SQL where SQL can express it."""
 
 from claimgauge.llm.decontaminate import OP10_SQL, op10_decontaminate
+from claimgauge.llm.language_id import op8_language_id
 from claimgauge.llm.packing import op4_packing
 from claimgauge.llm.quality_rules import OP9_SQL, op9_quality_rules
 from claimgauge.llm.simhash_dedup import op3_simhash_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_url_filter": op6_url_filter,
     "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
