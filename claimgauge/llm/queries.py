@@ -1,6 +1,7 @@
 """The registered query of every operator, and its SQL where SQL can express it."""
 
 from claimgauge.llm.decontaminate import OP10_SQL, op10_decontaminate
+from claimgauge.llm.html_extract import op1_html_extract
 from claimgauge.llm.language_id import op8_language_id
 from claimgauge.llm.packing import op4_packing
 from claimgauge.llm.quality_rules import OP9_SQL, op9_quality_rules
@@ -10,6 +11,7 @@ from claimgauge.llm.url_filter import OP6_SQL, op6_url_filter
 from claimgauge.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
