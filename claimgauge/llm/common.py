@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -46,13 +49,28 @@ def row_identity(df: DataFrame, label: str) -> DataFrame:
     return store(df.withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id()}), label)
 
 
-def before_part(totals: DataFrame, value: str, keys: list[str] = []) -> DataFrame:
-    """Running total of ``value`` over all smaller ``part``; one row per part (and key)."""
-    from pyspark.sql import Window
+def unique_name() -> str:
+    return uuid.uuid4().hex
 
-    upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumn("before", F.coalesce(F.sum(value).over(upto), F.lit(0)))
 
+_SHIPPED: set[str] = set()
 
-def unique_name() -> str:
-    return uuid.uuid4().hex
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's sources to the executors, once per application.
+
+    They are served by the driver, so that a cluster needs no copy of its own.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(top)}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
