@@ -75,26 +75,24 @@ def make_claims(spark):
 
 @pytest.fixture(scope="session")
 def five_claims(make_claims):
-    """Three providers: two plain claims, one denied and appealed, one of two out of network."""
+    """Three providers: Q1 with two plain claims, Q2 denied and appealed, Q3 with equipment from outside the network."""
+    visit = {"provider_id": "Q1", "specialty": "Geriatrics", "procedure_code": "CPT-99205"}
+    equipment = {"provider_id": "Q3", "member_id": "A3"}
     return make_claims(
-        {"billed_amount": 150.0, "allowed_amount": 120.0},
+        {**visit, "service_date": dt.date(2023, 2, 6), "billed_amount": 90.0, "allowed_amount": 64.0},
         {
-            "service_date": dt.date(2024, 2, 20), "procedure_code": "CPT-70100", "specialty": "Radiology",
-            "billed_amount": 500.0, "allowed_amount": 400.0,
+            **visit, "member_id": "A2", "service_date": dt.date(2023, 2, 27), "procedure_code": "CPT-74177", "specialty": "Radiology",
+            "billed_amount": 730.0, "allowed_amount": 455.0,
         },
         {
-            "member_id": "M2", "provider_id": "P2", "service_date": dt.date(2024, 3, 10), "denial_flag": "Y",
-            "denial_reason_category": "medical_necessity", "appeal_flag": "Y", "procedure_code": "CPT-27100",
-            "billed_amount": 2000.0, "allowed_amount": 1500.0, "claim_type": "Institutional",
+            "provider_id": "Q2", "claim_type": "Institutional", "service_date": dt.date(2023, 3, 13), "procedure_code": "CPT-62323",
+            "denial_flag": "Y", "denial_reason_category": "coding_error", "appeal_flag": "Y", "billed_amount": 2650.0, "allowed_amount": 1840.0,
         },
         {
-            "member_id": "M3", "provider_id": "P3", "service_date": dt.date(2024, 4, 5), "network_status": "OON",
-            "procedure_code": "HCPCS-E0100", "dme_flag": "Y", "units": 3, "billed_amount": 300.0, "allowed_amount": 250.0,
-        },
-        {
-            "member_id": "M3", "provider_id": "P3", "service_date": dt.date(2024, 5, 1), "procedure_code": "CPT-99202",
-            "billed_amount": 175.0, "allowed_amount": 140.0,
+            **equipment, "service_date": dt.date(2023, 5, 22), "network_status": "OON", "procedure_code": "HCPCS-E1130", "dme_flag": "Y",
+            "units": 2, "billed_amount": 510.0, "allowed_amount": 408.0,
         },
+        {**equipment, "service_date": dt.date(2023, 6, 19), "procedure_code": "CPT-99214", "billed_amount": 132.0, "allowed_amount": 96.0},
     )
 
 

@@ -31,13 +31,16 @@ def ids(flags):
 
 
 def test_high_volume(make):
-    volumes = [10, 12, 11, 9, 500, 10, 11, 12, 9, 10]
+    volumes = [31, 28, 30, 29, 33, 27, 30, 32, 240]
     flags = detection.flags_high_volume_provider(make(*[{"total_claims": v} for v in volumes])).collect()
-    assert [f["entity_id"] for f in flags] == ["P5"]
-    assert flags[0]["severity"] == "medium" and flags[0]["actual_value"] == 500.0
+    mean = sum(volumes) / 9
+    deviation = (sum((v - mean) ** 2 for v in volumes) / 8) ** 0.5
+    assert [f["entity_id"] for f in flags] == ["P9"]
+    assert flags[0]["severity"] == "medium" and flags[0]["actual_value"] == 240.0
     values = json.loads(flags[0]["feature_values"])
-    assert values == {"total_claims": 500, "peer_mean": 59.4, "peer_std": 154.8, "z_score": 2.85}
-    assert flags[0]["description"] == "Provider P5 has 500 claims (z-score=2.85, threshold=369)"
+    z = round((240 - mean) / deviation, 2)
+    assert values == {"total_claims": 240, "peer_mean": round(mean, 1), "peer_std": round(deviation, 1), "z_score": z}
+    assert flags[0]["description"] == f"Provider P9 has 240 claims (z-score={z}, threshold={mean + 2 * deviation:.0f})"
 
 
 def test_high_volume_needs_variation(make):

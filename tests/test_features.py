@@ -23,15 +23,15 @@ def test_categories(make_claims):
 
 def test_providers(five_claims):
     got = by_key(provider_features(five_claims), "provider_id")
-    assert got["P1"]["total_claims"] == 2
-    assert got["P1"]["total_allowed"] == 520.0 and got["P1"]["avg_allowed"] == 260.0
-    assert got["P1"]["unique_members"] == 1 and got["P1"]["unique_procedure_codes"] == 2
-    assert got["P1"]["entity_age_days"] == 36
-    assert got["P1"]["specialty"] == "Internal Medicine"  # that of the earliest claim
-    assert got["P2"]["denial_rate"] == 1.0 and got["P2"]["appeal_rate"] == 1.0
-    assert got["P3"]["oon_rate"] == 0.5 and got["P3"]["dme_rate"] == 0.5
-    assert got["P3"]["cost_per_unit"] == 390.0 / 4
-    assert got["P3"]["avg_billed_to_allowed_ratio"] == 475.0 / 390.0
+    assert got["Q1"]["total_claims"] == 2
+    assert got["Q1"]["total_allowed"] == 519.0 and got["Q1"]["avg_allowed"] == 259.5
+    assert got["Q1"]["unique_members"] == 2 and got["Q1"]["unique_procedure_codes"] == 2
+    assert got["Q1"]["entity_age_days"] == 21
+    assert got["Q1"]["specialty"] == "Geriatrics"  # that of the earliest claim
+    assert got["Q2"]["denial_rate"] == 1.0 and got["Q2"]["appeal_rate"] == 1.0
+    assert got["Q3"]["oon_rate"] == 0.5 and got["Q3"]["dme_rate"] == 0.5
+    assert got["Q3"]["cost_per_unit"] == 168.0
+    assert got["Q3"]["avg_billed_to_allowed_ratio"] == 642.0 / 504.0
 
 
 def test_providers_do_not_depend_on_partitioning(five_claims):
@@ -68,8 +68,8 @@ def test_monthly_mean_covers_three_periods(make_claims):
 
 def test_service_categories(five_claims):
     got = by_key(service_category_features(five_claims), "service_category")
-    assert got["E&M"]["total_claims"] == 2 and got["E&M"]["total_allowed"] == 260.0
-    assert got["DME"]["cost_per_unit"] == 250.0 / 3
+    assert got["E&M"]["total_claims"] == 2 and got["E&M"]["total_allowed"] == 160.0
+    assert got["DME"]["cost_per_unit"] == 204.0
 
 
 def test_empty_claims(make_claims, five_claims):

@@ -109,11 +109,11 @@ def kpis(spark, make_claims):
     from pyspark.sql import functions as F
 
     rows = [
-        ("A", {"allowed_amount": 100.0, "diagnosis_codes": '["DX-1", "DX-2"]'}),
-        ("A", {"allowed_amount": 200.0, "denial_flag": "Y", "specialty": ""}),
-        ("B", {"allowed_amount": 0.0, "billed_amount": 500.0, "specialty": "Radiology", "diagnosis_codes": "oops"}),
+        ("A", {"allowed_amount": 75.5, "diagnosis_codes": '["R07.9", "I20.0"]'}),
+        ("A", {"allowed_amount": 24.5, "denial_flag": "Y", "specialty": "", "diagnosis_codes": '["R07.9"]'}),
+        ("B", {"allowed_amount": 0.0, "billed_amount": 1310.0, "specialty": "Urology", "diagnosis_codes": "oops"}),
         ("B", {"allowed_amount": None, "billed_amount": 0.0, "specialty": None, "diagnosis_codes": None, "denial_flag": None}),
-        ("unmatched", {"allowed_amount": 50.0}),
+        ("unmatched", {"allowed_amount": 8.0}),
     ]
     claims = make_claims(*[row for _, row in rows])
     names = F.create_map(*[x for i, (name, _) in enumerate(rows, 1) for x in (F.lit(f"C{i}"), F.lit(name))])
@@ -122,16 +122,16 @@ def kpis(spark, make_claims):
 
 def test_kpis(kpis):
     got = by_key(kpis, "policy_id")
-    assert tuple(got["A"])[1:] == (2, 300.0, 150.0, 0.5, 0.5, ["DX-1", "DX-2"], ["Internal Medicine"])
+    assert tuple(got["A"])[1:] == (2, 100.0, 50.0, 0.5, 0.5, ["R07.9", "I20.0"], ["Internal Medicine"])
     # An allowed amount of 0 counts as missing; a null denial flag as approved.
-    assert tuple(got["B"])[1:] == (2, 500.0, 250.0, 1.0, 0.0, [], ["Radiology"])
+    assert tuple(got["B"])[1:] == (2, 1310.0, 655.0, 1.0, 0.0, [], ["Urology"])
     assert [r["policy_id"] for r in sort_kpis(kpis).collect()] == ["B", "A", "unmatched"]
     assert tuple(match_counts(kpis).collect()[0]) == (5, 4, 1)
 
 
 def test_ranked_table(kpis):
     rows = rank_policies(kpis).orderBy("place").collect()
-    assert tuple(rows[0]) == (1, "B", "2", "$500.00", "$250.00", "100.00%", "0.00%", "—", "Radiology")
+    assert tuple(rows[0]) == (1, "B", "2", "$1,310.00", "$655.00", "100.00%", "0.00%", "—", "Urology")
     assert [r["policy_id"] for r in rank_policies(kpis, "denial_rate").orderBy("place").collect()] == ["A", "B", "unmatched"]
     with pytest.raises(ValueError):
         rank_policies(kpis, "n_claims")

@@ -20,9 +20,9 @@ SEEDS = (
 
 @pytest.fixture(scope="module")
 def two_groups(make_claims):
-    a = [(100.0, "N", ["DX-001"]), (120.0, "N", ["DX-001", "DX-002"]), (80.0, "Y", ["DX-001"]), (110.0, "N", ["DX-003"]), (130.0, "N", ["DX-002"])]
-    b = [(350.0, "Y", ["DX-004"]), (400.0, "N", ["DX-004"]), (420.0, "N", ["DX-005"]), (380.0, "N", ["DX-004"])]
-    rows = [("CPT-99201", "Internal Medicine", *row) for row in a] + [("CPT-70100", "Radiology", *row) for row in b]
+    a = [(41.0, "Y", ["N18.3", "E78.5"]), (47.5, "N", ["N18.3"]), (58.0, "N", ["E78.5"]), (66.5, "N", ["N18.3"]), (72.0, "N", ["Z79.4"])]
+    b = [(910.0, "N", ["S82.0"]), (955.0, "N", ["S82.0"]), (990.0, "Y", ["S83.5"]), (1040.0, "N", ["S82.0"])]
+    rows = [("CPT-83036", "Nephrology", *row) for row in a] + [("CPT-27447", "Orthopedics", *row) for row in b]
     return make_claims(
         *[
             {"procedure_code": code, "specialty": specialty, "allowed_amount": amount, "denial_flag": denied,
@@ -44,19 +44,20 @@ def seed_table(spark):
 
 def test_seed_statistics(two_groups):
     seeds = by_key(policy_seeds(two_groups, min_claims=1), "procedure_code")
-    a, b = seeds["CPT-99201"], seeds["CPT-70100"]
-    assert (a["n_claims"], a["approval_rate"], a["denial_rate"], a["avg_claim_amount"]) == (5, 0.8, 0.2, 108.0)
-    assert (a["p50_claim_amount"], a["p90_claim_amount"]) == (110.0, 130.0)
-    assert (b["p50_claim_amount"], b["p90_claim_amount"]) == (400.0, 420.0)
-    assert [tuple(x) for x in a["top_diagnosis_codes"]] == [("DX-001", 3), ("DX-002", 2), ("DX-003", 1)]
-    assert tuple(b["top_diagnosis_codes"][0]) == ("DX-004", 3)
+    a, b = seeds["CPT-83036"], seeds["CPT-27447"]
+    assert (a["n_claims"], a["approval_rate"], a["denial_rate"], a["avg_claim_amount"]) == (5, 0.8, 0.2, 57.0)
+    assert (a["p50_claim_amount"], a["p90_claim_amount"]) == (58.0, 72.0)
+    # Index floor(3 * 0.5 + 0.5) = 2 of four.
+    assert (b["p50_claim_amount"], b["p90_claim_amount"]) == (990.0, 1040.0)
+    assert [tuple(x) for x in a["top_diagnosis_codes"]] == [("N18.3", 3), ("E78.5", 2), ("Z79.4", 1)]
+    assert tuple(b["top_diagnosis_codes"][0]) == ("S82.0", 3)
 
 
 def test_seed_limits_and_order(two_groups):
-    assert [r["procedure_code"] for r in policy_seeds(two_groups, min_claims=5).collect()] == ["CPT-99201"]
+    assert [r["procedure_code"] for r in policy_seeds(two_groups, min_claims=5).collect()] == ["CPT-83036"]
     assert policy_seeds(two_groups, min_claims=100).count() == 0
     ordered = sort_seeds(policy_seeds(two_groups, min_claims=1, top_n_dx=1)).collect()
-    assert [r["procedure_code"] for r in ordered] == ["CPT-70100", "CPT-99201"]
+    assert [r["procedure_code"] for r in ordered] == ["CPT-27447", "CPT-83036"]
     assert [len(r["top_diagnosis_codes"]) for r in ordered] == [1, 1]
 
 
