@@ -10,9 +10,10 @@ the first one found when looking, from the highest total down, for the earliest
     site + diagnosis             0.4
     site, diagnosis              0.2
 
-Each line is a lookup in an index built from the rules, which holds the earliest rule per key.
-Claims are never paired with rules. While the rules fit a broadcast, claims are not shuffled at
-all; beyond that, the distinct combinations of claims are joined with the same indexes.
+Each line is a join with an index built from the rules, which holds the earliest rule per key.
+Claims are never paired with rules: only their distinct combinations of the three columns are looked
+up, so the work grows with the combinations and the index entries. A key such as the claim type alone
+has few values, so those joins are salted by the combination, and index rows repeated per salt.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from claimgauge.functions.codes import diagnosis_list
 from claimgauge.functions.text import strip
 from claimgauge.operators.joins import join_groups
-from claimgauge.operators.stages import materialize
 
 UNMATCHED = "unmatched"
 UNNAMED = "unknown"
@@ -32,16 +32,12 @@ UNNAMED = "unknown"
 # Scores in tenths, so that their sums are exact.
 CODE_TENTHS, SITE_TENTHS, DIAGNOSIS_TENTHS = 6, 2, 2
 
-# Largest number of index entries (code x diagnosis pairs of all rules) that is broadcast; an
-# entry takes some 100 bytes.
-BROADCAST_ENTRIES = 1_000_000
-# Diagnosis codes of one index row are spread over small maps of about this size, because
-# looking up a key reads a map from its start.
-MAP_ENTRIES = 16
+# Tasks over which the combinations of one key are spread, where the key has few values.
+SALTS = 16
 
 CLAIM_KEYS = ["procedure_code", "claim_type", "diagnosis_codes"]
 LEVELS = {"code_site": ["code", "site"], "code": ["code"], "site": ["site"], "anywhere": []}
-CLAIM_COLUMN = {"code": "procedure_code", "site": "claim_type"}
+CLAIM_COLUMN = {"code": "procedure_code", "site": "claim_type", "diagnosis": "diagnosis"}
 
 
 def match_score(pairs: DataFrame) -> DataFrame:
@@ -101,32 +97,6 @@ def _earliest_by_diagnosis(indexed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _slot(diagnosis: Column, slots: Column) -> Column:
-    return F.pmod(F.hash(diagnosis), slots)
-
-
-def _packed_index(indexed: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: ``earliest`` rule and ``slots``, an array of diagnosis-to-rule maps."""
-    by_diagnosis = _earliest_by_diagnosis(indexed, keys)
-    sizes = by_diagnosis.groupBy(*keys).agg(F.ceil(F.count("*") / MAP_ENTRIES).cast("int").alias("n_slots"))
-    sized = by_diagnosis.join(sizes, keys) if keys else by_diagnosis.withColumn("n_slots", sizes.scalar())
-    maps = (
-        sized.groupBy(*keys, "n_slots", _slot(F.col("diagnosis"), F.col("n_slots")).alias("slot"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("diagnosis", "earliest"))).alias("entries"))
-        .groupBy(*keys)
-        .agg(
-            F.first("n_slots").alias("n_slots"),
-            F.map_from_entries(F.collect_list(F.struct("slot", "entries"))).alias("filled"),
-        )
-    )
-    packed = maps.select(
-        *keys,
-        F.transform(F.sequence(F.lit(0), F.col("n_slots") - 1), lambda i: F.try_element_at("filled", i)).alias("slots"),
-    )
-    earliest = _earliest(indexed, keys)
-    return earliest.join(packed, keys, "left") if keys else packed.where("slots IS NOT NULL")
-
-
 def _best(any_rule: dict[str, Column], diagnosis_rule: dict[str, Column]) -> Column:
     """The rule of the first level that has one; later levels are not even looked at."""
     return F.coalesce(
@@ -146,75 +116,41 @@ def _assignments() -> list[Column]:
     ]
 
 
-def _match_by_broadcast(claims: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Look every claim up in broadcast indexes, in place."""
-    # The rules are small here: one partition spares the shuffles of the index aggregations.
-    indexed = indexed.coalesce(1)
-    found = claims.withColumn("dx", diagnosis_list(F.col("diagnosis_codes")))
-    for level, keys in LEVELS.items():
-        packed = _packed_index(indexed, keys)
-        if not keys:
-            found = found.withColumn(level, packed.select(F.struct("slots")).scalar())
-            continue
-        index = F.broadcast(
-            packed.select(*[F.col(k).alias(f"{level}_{k}") for k in keys], F.struct("earliest", "slots").alias(level))
-        )
-        on = [F.col(CLAIM_COLUMN[k]) == F.col(f"{level}_{k}") for k in keys]
-        found = found.join(index, reduce(lambda a, b: a & b, on), "left").drop(*[f"{level}_{k}" for k in keys])
-
-    def by_diagnosis(level: str) -> Column:
-        slots = F.col(level)["slots"]
-        rule = F.transform(
-            "dx", lambda code: F.try_element_at(F.get(slots, _slot(code, F.size(slots))), code)
-        )
-        return F.when(slots.isNotNull(), F.array_min(rule))
-
-    any_rule = {level: F.col(level)["earliest"] for level in LEVELS if LEVELS[level]}
-    best = _best(any_rule, {level: by_diagnosis(level) for level in LEVELS})
-    return found.withColumn("best", best).select(*claims.columns, *_assignments())
-
-
-def _match_by_join(claims: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Join the distinct claim combinations with the indexes, then the claims with the result."""
-    combos = claims.select(*CLAIM_KEYS).distinct()
+def _look_up(rows: DataFrame, index: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows``, which have a ``salt``, with the index's ``earliest`` under the keys as ``name``."""
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    renamed = index.select(
+        *[F.col(k).alias(f"index_{k}") for k in keys], F.col("earliest").alias(name), salts.alias("index_salt")
+    )
+    on = [F.col(CLAIM_COLUMN[k]) == F.col(f"index_{k}") for k in keys] + [F.col("salt") == F.col("index_salt")]
+    found = rows.join(renamed, reduce(lambda a, b: a & b, on), "left")
+    return found.drop("index_salt", *[f"index_{k}" for k in keys])
+
+
+def _best_of_combinations(combos: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The distinct combinations with ``policy_id`` and ``match_confidence``."""
+    combos = combos.withColumn("salt", F.pmod(F.xxhash64(*CLAIM_KEYS), F.lit(SALTS)).cast("int"))
     codes = combos.withColumn("diagnosis", F.explode(F.array_distinct(diagnosis_list(F.col("diagnosis_codes")))))
     for level, keys in LEVELS.items():
-        index = _earliest_by_diagnosis(indexed, keys).select(
-            *[F.col(k).alias(f"{level}_{k}") for k in keys],
-            F.col("diagnosis").alias(f"{level}_diagnosis"),
-            F.col("earliest").alias(f"dx_{level}"),
-        )
-        on = [F.col(CLAIM_COLUMN[k]) == F.col(f"{level}_{k}") for k in keys]
-        on.append(F.col("diagnosis") == F.col(f"{level}_diagnosis"))
-        codes = codes.join(index, reduce(lambda a, b: a & b, on), "left").drop(
-            f"{level}_diagnosis", *[f"{level}_{k}" for k in keys]
-        )
+        codes = _look_up(codes, _earliest_by_diagnosis(indexed, keys), [*keys, "diagnosis"], f"dx_{level}")
     by_diagnosis = codes.groupBy(*CLAIM_KEYS).agg(*[F.min(f"dx_{level}").alias(f"dx_{level}") for level in LEVELS])
     found = join_groups(combos, by_diagnosis, CLAIM_KEYS)
     for level, keys in LEVELS.items():
         if keys:
-            index = _earliest(indexed, keys).select(
-                *[F.col(k).alias(f"{level}_{k}") for k in keys], F.col("earliest").alias(level)
-            )
-            on = [F.col(CLAIM_COLUMN[k]) == F.col(f"{level}_{k}") for k in keys]
-            found = found.join(index, reduce(lambda a, b: a & b, on), "left").drop(*[f"{level}_{k}" for k in keys])
+            found = _look_up(found, _earliest(indexed, keys), keys, level)
     best = _best(
         {level: F.col(level) for level in LEVELS if LEVELS[level]},
         {level: F.col(f"dx_{level}") for level in LEVELS},
     )
-    assigned = found.withColumn("best", best).select(*CLAIM_KEYS, *_assignments())
-    return join_groups(claims, assigned, CLAIM_KEYS)
+    return found.withColumn("best", best).select(*CLAIM_KEYS, *_assignments())
 
 
-def match_claims_to_policies(
-    claims: DataFrame, rules: DataFrame, order_by: str = "source_file", broadcast_entries: int = BROADCAST_ENTRIES
-) -> DataFrame:
+def match_claims_to_policies(claims: DataFrame, rules: DataFrame, order_by: str = "source_file") -> DataFrame:
     """Claims with ``policy_id`` and ``match_confidence`` of the best rule.
 
     Of equally good rules the first by ``order_by`` wins. Claims that no rule fits are
-    ``unmatched`` with confidence 0. Duplicate claims stay.
+    ``unmatched`` with confidence 0. Duplicate claims stay. Nothing runs before an action; the rules are
+    read once per index, so derived rules are better stored first.
     """
-    indexed = materialize(_index_rules(rules, order_by), "policy-rules")
-    entries = indexed.agg(F.sum((F.size("codes") + 1) * (F.size("diagnoses") + 1))).first()[0] or 0
-    small = entries <= broadcast_entries
-    return _match_by_broadcast(claims, indexed) if small else _match_by_join(claims, indexed)
+    combos = claims.select(*CLAIM_KEYS).distinct()
+    return join_groups(claims, _best_of_combinations(combos, _index_rules(rules, order_by)), CLAIM_KEYS)
