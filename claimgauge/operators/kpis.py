@@ -8,6 +8,7 @@ from claimgauge.functions import money
 from claimgauge.functions.codes import diagnosis_list
 from claimgauge.functions.ratios import count_where, rate
 from claimgauge.functions.text import grouped, percent
+from claimgauge.operators.order_stats import number_rows
 from claimgauge.operators.matching import UNMATCHED
 
 TOP = 5
@@ -95,18 +96,18 @@ def sort_kpis(kpis: DataFrame) -> DataFrame:
 def rank_policies(kpis: DataFrame, rank_by: str = "total_amount") -> DataFrame:
     """Numbered policies, highest first, with display texts.
 
-    The window covers one row per policy, not claims.
+    Policies are sorted by range over all tasks, in a stored stage.
     """
     if rank_by not in RANKINGS:
         raise ValueError(f"rank_by must be one of {RANKINGS}, not {rank_by!r}")
-    place = F.row_number().over(Window.orderBy(F.desc(rank_by), "policy_id"))
+    placed = number_rows(kpis, [F.desc(rank_by), F.asc("policy_id")], "place")
 
     def first_three(name: str) -> Column:
         joined = F.array_join(F.slice(name, 1, SHOWN), ", ")
         return F.when(joined == "", NOTHING).otherwise(joined)
 
-    return kpis.select(
-        place.alias("place"),
+    return placed.select(
+        "place",
         "policy_id",
         grouped(F.col("n_claims")).alias("claims"),
         F.concat(F.lit("$"), grouped(F.col("total_amount"), 2)).alias("total_amount"),

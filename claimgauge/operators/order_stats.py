@@ -1,9 +1,11 @@
-"""Exact quantiles and medians without sorting a group in one task.
+"""Exact quantiles, medians and row numbers without sorting a group in one task.
 
-Values fall into geometric buckets that keep their order. Bucket counts, which combine on the
-map side, tell in which bucket a rank lies; only the values of that bucket are then counted and
-ordered. A group may hold any share of all rows: no task sees more than its bucket counts or the
-distinct values of one bucket.
+Values are counted once per group with map-side sums, and the distinct ones are sorted over all tasks by
+range. How many rows each task holds of a group tells in which task a rank lies; only there are the
+values of that task ordered and counted up. A group may hold any share of all rows, and its values may
+lie as close together as doubles can: no task ever holds more than one range partition.
+
+The sorted counts are a stored stage, so calling one of these functions runs a job.
 """
 
 from __future__ import annotations
@@ -15,31 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimgauge.operators.stages import materialize
 
-# 64 buckets per power of two: a bucket spans about 1.1 percent of its value.
-BUCKETS_PER_DOUBLING = 64
-# Above every magnitude of a double, 1074 * 64 = 68736, so that the sign decides first.
-SIGN_OFFSET = 100_000
-# Largest number of located buckets that may be broadcast, some 100 bytes each.
-BROADCAST_ROWS = 200_000
-
 Ranks = dict[str, Callable[[Column], Column]]
 
 
-def order_bucket(value: Column) -> Column:
-    """A whole number that never decreases when the value grows."""
-    magnitude = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_DOUBLING) + SIGN_OFFSET
-    limit = F.lit(2 * SIGN_OFFSET)
-    infinity = F.lit(float("inf"))
-    return (
-        F.when(F.isnan(value) | (value == infinity), limit)
-        .when(value == -infinity, -limit)
-        .when(value > 0, magnitude)
-        .when(value < 0, -magnitude)
-        .otherwise(F.lit(0))
-        .cast("int")
-    )
-
-
 def nearest_rank(q: float) -> Callable[[Column], Column]:
     """1-based rank of the q-quantile under nearest interpolation."""
     return lambda n: F.floor((n - 1) * q + 0.5) + 1
@@ -49,29 +29,27 @@ LOWER_MIDDLE: Callable[[Column], Column] = lambda n: F.floor((n + 1) / 2)
 UPPER_MIDDLE: Callable[[Column], Column] = lambda n: F.floor(n / 2) + 1
 
 
-def bucket_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows per group and bucket, nulls left out: ``keys, bucket, n_bucket``."""
-    return (
+def sorted_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct non-null values per group with their number ``n`` and the task ``part`` of their range, stored."""
+    counted = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, order_bucket(F.col(value).cast("double")).alias("bucket"))
-        .agg(F.count("*").alias("n_bucket"))
+        .groupBy(*keys, F.col(value).cast("double").alias("value"))
+        .agg(F.count("*").alias("n"))
+    )
+    return materialize(
+        counted.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()), "sorted-counts"
     )
-
-
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[name].eqNullSafe(right[name]) for name in names])
 
 
 def locate_ranks(counts: DataFrame, keys: list[str], ranks: Ranks) -> DataFrame:
-    """The bucket of each wanted rank and the rank inside it: ``keys, bucket, pick, inner_rank``.
+    """The part of each wanted rank and the rank inside it: ``keys, part, pick, inner_rank``.
 
-    The windows run over the buckets of one group, whose number is bounded by the double format.
+    The windows run over the parts of one group, at most as many as there are partitions.
     """
+    sums = counts.groupBy(*keys, "part").agg(F.sum("n").alias("n_part"))
     group = Window.partitionBy(*(keys or [F.lit(0)]))
-    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumns(
-        {"n_group": F.sum("n_bucket").over(group), "n_upto": F.sum("n_bucket").over(upto)}
-    )
+    upto = group.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sums.withColumns({"n_group": F.sum("n_part").over(group), "n_upto": F.sum("n_part").over(upto)})
     wanted = F.array(
         *[
             F.struct(F.lit(name).alias("pick"), rank(F.col("n_group")).cast("long").alias("rank"))
@@ -79,47 +57,37 @@ def locate_ranks(counts: DataFrame, keys: list[str], ranks: Ranks) -> DataFrame:
         ]
     )
     return (
-        placed.withColumn("n_before", F.col("n_upto") - F.col("n_bucket"))
+        placed.withColumn("n_before", F.col("n_upto") - F.col("n_part"))
         .withColumn("wanted", F.explode(wanted))
         .where((F.col("wanted.rank") > F.col("n_before")) & (F.col("wanted.rank") <= F.col("n_upto")))
         .select(
             *keys,
-            "bucket",
+            "part",
             F.col("wanted.pick").alias("pick"),
             (F.col("wanted.rank") - F.col("n_before")).alias("inner_rank"),
         )
     )
 
 
-def values_at(df: DataFrame, keys: list[str], value: str, located: DataFrame, names: list[str], small: bool) -> DataFrame:
-    """The values at located ranks, one row per group and one column per name.
-
-    A ``small`` set of located buckets is broadcast, so that ``df`` is only filtered. Otherwise
-    ``df`` is reduced to distinct values first, which also spreads hot groups over all tasks.
-    """
-    spots = located.select(*[F.col(k).alias(f"spot_{k}") for k in keys], F.col("bucket").alias("spot_bucket"), "pick", "inner_rank")
-    spots = F.broadcast(spots) if small else spots
-    rows = df.select(*keys, F.col(value).cast("double").alias("value")).where("value IS NOT NULL")
-    if not small:
-        rows = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("bucket", order_bucket(F.col("value")))
+def values_at(counts: DataFrame, keys: list[str], located: DataFrame, names: list[str]) -> DataFrame:
+    """The values at located ranks, one row per group and one column per name."""
+    spots = located.select(
+        *[F.col(k).alias(f"spot_{k}") for k in keys], F.col("part").alias("spot_part"), "pick", "inner_rank"
+    )
     on = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"spot_{k}")) for k in keys],
-        F.col("bucket") == F.col("spot_bucket"),
-    )
-    counted = (
-        rows.join(spots, on)
-        .groupBy(*keys, "pick", "inner_rank", "value")
-        .agg((F.count("*") if small else F.sum("n")).alias("n_value"))
+        F.col("part") == F.col("spot_part"),
     )
     upto = (
-        Window.partitionBy(*keys, "pick")
+        Window.partitionBy(*keys, "part", "pick")
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    reached = counted.withColumn("n_upto", F.sum("n_value").over(upto)).where(
-        F.col("n_upto") >= F.col("inner_rank")
+    reached = (
+        counts.join(spots, on)
+        .withColumn("n_upto", F.sum("n").over(upto))
+        .where((F.col("n_upto") >= F.col("inner_rank")) & (F.col("n_upto") - F.col("n") < F.col("inner_rank")))
     )
     return reached.groupBy(*keys).agg(
         *[F.min(F.when(F.col("pick") == name, F.col("value"))).alias(name) for name in names]
@@ -128,12 +96,8 @@ def values_at(df: DataFrame, keys: list[str], value: str, located: DataFrame, na
 
 def select_ranks(df: DataFrame, keys: list[str], value: str, ranks: Ranks) -> DataFrame:
     """The values at the given ranks of each group's ascending non-null values."""
-    counts = bucket_counts(df, keys, value)
-    small = True
-    if keys:
-        counts = materialize(counts, "bucket-counts")
-        small = counts.count() <= BROADCAST_ROWS
-    return values_at(df, keys, value, locate_ranks(counts, keys, ranks), list(ranks), small)
+    counts = sorted_counts(df, keys, value)
+    return values_at(counts, keys, locate_ranks(counts, keys, ranks), list(ranks))
 
 
 def nearest_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
@@ -145,3 +109,18 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     """The middle value, or the mean of the two middle values."""
     middles = select_ranks(df, keys, value, {"lower": LOWER_MIDDLE, "upper": UPPER_MIDDLE})
     return middles.select(*keys, ((F.col("lower") + F.col("upper")) / 2).alias(name))
+
+
+def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its rows numbered from 1 in the order, which must leave no ties.
+
+    Rows are sorted by range and stored; a row's number is its number in its task plus all rows before it.
+    """
+    placed = materialize(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sorted-rows")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("part").agg(F.count("*").alias("n")).select(
+        F.col("part").alias("offset_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    )
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    numbered = placed.withColumn(name, own).join(offsets, F.col("part") == F.col("offset_part"))
+    return numbered.withColumn(name, (F.col(name) + F.col("offset")).cast("int")).drop("part", "offset_part", "offset")

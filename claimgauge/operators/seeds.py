@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from claimgauge.functions import money
 from claimgauge.functions.ratios import count_where, ratio
 from claimgauge.operators.joins import join_groups
-from claimgauge.operators.order_stats import (
-    BROADCAST_ROWS,
-    locate_ranks,
-    nearest_rank,
-    order_bucket,
-    values_at,
-)
+from claimgauge.operators.order_stats import nearest_quantiles
 from claimgauge.operators.stages import materialize
 from claimgauge.operators.top_codes import top_k_codes
 from claimgauge.schema import CODE_COUNTS
@@ -25,48 +19,31 @@ QUANTILES = {"p50_claim_amount": 0.5, "p90_claim_amount": 0.9}
 def policy_seeds(claims: DataFrame, min_claims: int = 30, top_n_dx: int = 5) -> DataFrame:
     """One row per cluster of at least ``min_claims`` claims, unsorted.
 
-    The first pass counts per cluster and amount bucket; that small table holds all counts, sums
-    and quantile positions. The second pass reads only the amounts in the located buckets, the
-    third only the diagnosis codes.
+    The first pass counts and sums per cluster and stores the clusters that are large enough; quantiles
+    and codes are then looked for in those clusters only. Calling it runs these jobs.
     """
-    amount = F.col("allowed_amount")
-    buckets = claims.groupBy(
-        *KEYS, F.when(amount.isNotNull(), order_bucket(amount)).alias("bucket")
-    ).agg(
-        F.count("*").alias("n"),
-        F.count("allowed_amount").alias("n_bucket"),
-        count_where(F.col("denial_flag") == "N").alias("approved"),
-        count_where(F.col("denial_flag") == "Y").alias("denied"),
-        F.count("denial_flag").alias("n_flag"),
-        *money.sum_parts("allowed_amount", "allowed"),
-    )
-    buckets = materialize(buckets, "seed-buckets")
-    small = buckets.count() <= BROADCAST_ROWS
-    large_enough = (
-        buckets.withColumn("n_claims", F.sum("n").over(Window.partitionBy(*KEYS)))
-        .where(F.col("n_claims") >= min_claims)
-    )
-    located = locate_ranks(
-        large_enough.where("bucket IS NOT NULL").select(*KEYS, "bucket", "n_bucket"),
-        KEYS,
-        {name: nearest_rank(q) for name, q in QUANTILES.items()},
-    )
-    quantiles = values_at(claims, KEYS, "allowed_amount", located, list(QUANTILES), small)
-    stats = (
-        buckets.groupBy(*KEYS)
+    stats = materialize(
+        claims.groupBy(*KEYS)
         .agg(
-            *[F.sum(name).alias(name) for name in ("n", "n_bucket", "approved", "denied", "n_flag")],
-            *money.merge_parts("allowed"),
+            F.count("*").alias("n"),
+            F.count("allowed_amount").alias("n_amount"),
+            count_where(F.col("denial_flag") == "N").alias("approved"),
+            count_where(F.col("denial_flag") == "Y").alias("denied"),
+            F.count("denial_flag").alias("n_flag"),
+            *money.sum_parts("allowed_amount", "allowed"),
         )
-        .where(F.col("n") >= min_claims)
+        .where(F.col("n") >= min_claims),
+        "large-clusters",
     )
-    joined = join_groups(join_groups(stats, quantiles, KEYS), top_k_codes(claims, KEYS, top_n_dx), KEYS)
+    kept = join_groups(claims.select(*KEYS, "allowed_amount", "diagnosis_codes"), stats.select(*KEYS), KEYS, "left_semi")
+    quantiles = nearest_quantiles(kept, KEYS, "allowed_amount", QUANTILES)
+    joined = join_groups(join_groups(stats, quantiles, KEYS), top_k_codes(kept, KEYS, top_n_dx), KEYS)
     return joined.select(
         *KEYS,
         F.col("n").alias("n_claims"),
         ratio(F.col("approved"), F.col("n_flag")).alias("approval_rate"),
         ratio(F.col("denied"), F.col("n_flag")).alias("denial_rate"),
-        ratio(money.total("allowed"), F.col("n_bucket")).alias("avg_claim_amount"),
+        ratio(money.total("allowed"), F.col("n_amount")).alias("avg_claim_amount"),
         *QUANTILES,
         F.coalesce("top_diagnosis_codes", F.array().cast(CODE_COUNTS)).alias("top_diagnosis_codes"),
     )

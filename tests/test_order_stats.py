@@ -3,14 +3,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from claimgauge.operators import order_stats
 from claimgauge.operators.order_stats import (
-    bucket_counts,
     exact_median,
     locate_ranks,
     nearest_quantiles,
     nearest_rank,
-    order_bucket,
+    number_rows,
+    sorted_counts,
     values_at,
 )
 
@@ -53,12 +52,6 @@ def test_quantiles_per_group(table, groups):
             assert got[key][name] == brute_quantile(values, q), (key, q)
 
 
-def test_quantiles_without_broadcast(table, groups, monkeypatch):
-    monkeypatch.setattr(order_stats, "BROADCAST_ROWS", 0)
-    got = {r["g"]: r["b"] for r in nearest_quantiles(table, ["g"], "v", {"b": 0.5}).collect()}
-    assert got == {key: brute_quantile(values, 0.5) for key, values in groups.items()}
-
-
 def test_median_per_group_and_overall(table, groups):
     got = {r["g"]: r["m"] for r in exact_median(table, ["g"], "v", "m").collect()}
     assert got == {key: brute_median(values) for key, values in groups.items()}
@@ -71,22 +64,29 @@ def test_no_values(spark):
     assert [r["m"] for r in exact_median(empty, [], "v", "m").collect()] in ([], [None])
 
 
-def test_buckets_keep_order(spark):
-    rng = random.Random(1)
-    values = sorted(
-        [0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 1.7e308]
-        + [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(500)]
-    )
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i INT, v DOUBLE")
-    buckets = [r["b"] for r in rows.select("i", order_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
-    assert buckets == sorted(buckets)
-
-
-def test_only_located_buckets_are_ranked(spark):
-    """Of many distinct values, the ordering step sees those of one bucket."""
-    table = spark.range(1, 200_001).select(F.col("id").cast("double").alias("v"))
-    located = locate_ranks(bucket_counts(table, [], "v"), [], {"p90": nearest_rank(0.9)})
-    bucket = located.collect()[0]["bucket"]
-    inside = table.where(order_bucket(F.col("v")) == bucket).count()
-    assert inside < 200_000 * 0.02
-    assert values_at(table, [], "v", located, ["p90"], True).collect()[0]["p90"] == 180_000
+@pytest.fixture
+def many_tasks(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("step", [1.0, 1e-10])
+def test_no_task_orders_more_than_its_range(spark, many_tasks, step):
+    """Also if all values lie within a hair of each other."""
+    table = spark.range(1, 60_001).select((100 + F.col("id") * step).alias("v"))
+    counts = sorted_counts(table, [], "v")
+    largest = counts.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert largest < 60_000 / 12 * 2
+    located = locate_ranks(counts, [], {"p90": nearest_rank(0.9)})
+    assert located.count() == 1
+    assert values_at(counts, [], located, ["p90"]).collect()[0]["p90"] == 100 + 54_000 * step
+
+
+def test_row_numbers_over_many_tasks(spark, many_tasks):
+    rows = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"), "id")
+    got = number_rows(rows, [F.desc("v"), F.asc("id")], "place").collect()
+    ordered = sorted(got, key=lambda r: (-r["v"], r["id"]))
+    assert [r["place"] for r in ordered] == list(range(1, 1001))
