@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimgauge.schema import CLAIMS
 
@@ -13,8 +13,17 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_claims(spark: SparkSession, path: str) -> DataFrame:
-    """A claims table whose columns are already canonical: no schema inference job."""
-    return spark.read.schema(CLAIMS).parquet(path)
+    """A claims table with the columns that its files have, known ones first and in their canonical types.
+
+    Missing columns stay missing and others are kept, so that the checks of a table see what is there.
+    """
+    stored = spark.read.parquet(path)
+    known = [
+        F.col(field.name) if stored.schema[field.name].dataType == field.dataType else F.col(field.name).cast(field.dataType)
+        for field in CLAIMS
+        if field.name in stored.columns
+    ]
+    return stored.select(*known, *[f"`{name}`" for name in stored.columns if name not in CLAIMS.names])
 
 
 def save_table(df: DataFrame, path: str) -> str:

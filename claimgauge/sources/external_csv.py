@@ -43,13 +43,18 @@ PAID_SHARE = 0.7
 DAYS_TO_PAYMENT = 30
 
 
-def read_external_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_external_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """The ten columns, typed. An unreadable amount fails the job, an unreadable date is null.
 
-    An empty unquoted field is null and a quoted empty one (``""``) is an empty string.
+    An empty unquoted field is null and a quoted empty one (``""``) is an empty string; a quote inside a
+    quoted field is doubled. A row with more or fewer fields than the header fails the job, as does a file
+    whose header differs from the first one's. Quoted line breaks are such rows, unless ``multi_line`` is
+    set, which reads each file in one task.
     """
     # With its default, "", the null marker would swallow quoted empty fields as well.
-    raw = spark.read.option("header", True).option("nullValue", "\0").csv(path)
+    options = {"header": True, "nullValue": "\0", "mode": "FAILFAST", "enforceSchema": False, "columnPruning": False,
+               "escape": '"', "multiLine": multi_line}
+    raw = spark.read.options(**options).csv(path)
     raw = raw.toDF(*[name.strip() for name in raw.columns])
     missing = sorted(set(EXTERNAL_COLUMNS) - set(raw.columns))
     if missing:
@@ -102,5 +107,5 @@ def adapt_external_claims(external: DataFrame) -> DataFrame:
     )
 
 
-def load_external_csv(spark: SparkSession, path: str) -> DataFrame:
-    return adapt_external_claims(read_external_csv(spark, path))
+def load_external_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return adapt_external_claims(read_external_csv(spark, path, multi_line))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimgauge.operators.policy_docs import parse_policy_docs
@@ -24,22 +22,26 @@ def write_policy_docs(docs: DataFrame, path: str) -> str:
     return save_table(docs, path)
 
 
-def export_policy_files(docs: DataFrame, folder: str) -> None:
-    """One Markdown file per document, written by the executors to a folder they all mount."""
-
-    def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            with open(os.path.join(folder, row["file_name"]), "w", encoding="utf-8") as file:
-                file.write(row["md"])
+def export_policy_files(docs: DataFrame, folder: str) -> str:
+    """One Markdown file per document, in a folder of its own that bears the document's name.
 
-    docs.select("file_name", "md").foreachPartition(write)
+    Spark writes the files, so the folder may lie in any store.
+    """
+    named = docs.select(F.col("md").alias("value"), F.regexp_replace("file_name", r"\.md$", "").alias("document"))
+    named.repartition("document").write.mode("overwrite").partitionBy("document").option("lineSep", "\0").text(folder)
+    return folder
 
 
 def read_policy_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``file_name, md`` of every Markdown file in a folder."""
-    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("md"))
+    """``file_name, md`` of every Markdown file in a folder, or of every document's folder as exported there."""
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    exported = F.url_decode(F.regexp_extract(path, "/document=([^/]*)/[^/]*$", 1))
+    named = files.select(
+        F.when(exported != "", F.concat(exported, F.lit(".md"))).when(name.endswith(".md"), name).alias("file_name"),
+        F.rtrim(F.col("value"), F.lit("\0")).alias("md"),
+    )
+    return named.where("file_name IS NOT NULL")
 
 
 def parse_policies_dir(spark: SparkSession, folder: str, output: str) -> str:
