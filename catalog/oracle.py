@@ -371,6 +371,24 @@ def issue_rows(table: str) -> str:
 
 
 check("validate_issues", "faulty", issue_rows("faulty"))
+check(
+    "column_presence",
+    "claims",
+    """
+SELECT 'critical' AS level, 'column_presence' AS rule, 'Missing required columns: [''facility_id'', ''supplier_type'']' AS message,
+    count(*) AS affected_rows, '' AS examples FROM claims""",
+)
+check(
+    "zero_variance",
+    "claims",
+    """
+SELECT 'advisory' AS level, 'zero_variance' AS rule, 'Column ''paid_amount'' has zero variance — suspicious for real data' AS message,
+    count(*) AS affected_rows, '' AS examples FROM claims
+UNION ALL
+SELECT 'advisory', 'high_null_rate', 'Column ''note'' has ' || printf('%.1f', round(100.0 * n / total, 1)) || '% nulls', n, ''
+FROM (SELECT count(*) FILTER (WHERE claim_type IS DISTINCT FROM 'Pharmacy') AS n, count(*) AS total FROM claims)
+WHERE n > total * 0.5""",
+)
 check(
     "validate_claims",
     "claims",
@@ -391,6 +409,7 @@ check(
 # Quantiles and top codes
 
 
+
 def nearest(column: str, rank: str, q: float) -> str:
     return f"max(CASE WHEN {rank} = CAST(floor((n - 1) * CAST({q} AS DOUBLE) + 0.5) AS BIGINT) + 1 THEN {column} END)"
 
@@ -405,6 +424,18 @@ FROM (SELECT *, row_number() OVER (PARTITION BY claim_type, specialty ORDER BY a
         count(*) OVER (PARTITION BY claim_type, specialty) AS n FROM claims)
 GROUP BY 1, 2""",
 )
+check(
+    "continuous_quantile",
+    "claims",
+    f"""
+SELECT kind, {nearest("v", "r", 0.1)} AS p10, {nearest("v", "r", 0.5)} AS p50, {nearest("v", "r", 0.99)} AS p99
+FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY v) AS r, count(*) OVER (PARTITION BY kind) AS n
+      FROM (SELECT 'ratio' AS kind, CAST(billed_amount AS DOUBLE) / CAST(allowed_amount AS DOUBLE) AS v FROM claims WHERE allowed_amount > 0
+            UNION ALL
+            SELECT 'close', CAST(1000 AS DOUBLE) + CAST(billed_amount AS DOUBLE) / CAST(allowed_amount AS DOUBLE) / CAST(1e6 AS DOUBLE)
+            FROM claims WHERE allowed_amount > 0))
+GROUP BY kind""",
+)
 check("exact_median", "claims", "SELECT provider_id, median(billed_amount) AS median_billed FROM claims GROUP BY 1")
 
 
@@ -463,7 +494,11 @@ check(
     "claims",
     f"SELECT {CLUSTER}, n_claims, p50_claim_amount FROM ({clusters(1)})",
 )
-check("write_policy_seeds", "seeds", f"SELECT {CLUSTER}, n_claims, top_diagnosis_codes FROM seeds")
+check(
+    "write_policy_seeds",
+    "seeds",
+    "SELECT * EXCLUDE (stem, codes) FROM seeds, (VALUES ('parquet'), ('jsonl')) AS kinds(kind)",
+)
 
 
 def document() -> str:
@@ -511,23 +546,17 @@ SELECT regexp_replace(file_name, '\.md$', '') AS policy_id,
 FROM (SELECT *, regexp_extract_all(md, '\bCPT-\w+\b|\b[0-9]{4,5}[A-Z]?\b') AS tokens FROM docs)""",
 )
 check("render_policy_docs", "docs", "SELECT * FROM docs")
-check("write_policy_docs", "docs", "SELECT file_name, CAST(length(md) AS INTEGER) AS n_chars FROM docs")
-check(
-    "parse_policy_docs",
-    "rules",
-    """
+check("write_policy_docs", "docs", "SELECT file_name, md FROM docs")
+for name in ("parse_policy_docs", "parse_policy_files", "load_policy_rules"):
+    check(
+        name,
+        "rules",
+        """
 SELECT policy_id, array_to_string(covered, '|') AS covered_cpt_codes, site AS site_of_service,
     array_to_string(dx, '|') AS diagnosis_constraints, array_to_string(requirements, '|') AS documentation_requirements,
     file_name AS source_file
 FROM rules""",
-)
-check(
-    "load_policy_rules",
-    "rules",
-    """
-SELECT policy_id, site AS site_of_service, array_to_string(dx, '|') AS diagnosis_constraints, file_name AS source_file
-FROM rules""",
-)
+    )
 check(
     "roundtrip_check",
     "rules seeds",
@@ -679,6 +708,17 @@ FROM metrics JOIN (SELECT * FROM (VALUES ('denial_rate', CAST(0.08 AS DOUBLE), C
 )
 check("internal_metrics", "metrics", "SELECT * FROM metrics")
 check("benchmark_compare", "comparison", "SELECT * FROM comparison")
+check("flagged_count", "comparison", "SELECT count(*) FILTER (WHERE exceeds_threshold) AS flagged_count FROM comparison")
+check(
+    "odd_amounts",
+    "claims",
+    """
+SELECT claim_type, isnan(total) AS not_a_number, NOT isnan(total) AND isinf(total) AS infinite,
+    CASE WHEN isfinite(total) THEN round(total, 2) END AS total_allowed
+FROM (SELECT claim_type, sum(CASE WHEN claim_type = 'Pharmacy' AND denial_flag = 'Y' THEN CAST('nan' AS DOUBLE)
+        WHEN claim_type = 'Institutional' AND denial_flag = 'Y' THEN CAST('inf' AS DOUBLE)
+        ELSE CAST(allowed_amount AS DOUBLE) END) AS total FROM claims GROUP BY claim_type)""",
+)
 check(
     "report_benchmarks",
     "comparison",

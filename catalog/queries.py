@@ -6,11 +6,13 @@ Lists and structs are returned as text, so that results compare by value across
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimgauge.config import PolicyChangeEvent
+from claimgauge.functions import money
 from claimgauge.functions.codes import diagnosis_list
 from claimgauge.operators import (
     appeals,
@@ -32,7 +34,7 @@ from claimgauge.operators.joins import join_groups
 from claimgauge.operators.stages import materialize, scratch_path
 from claimgauge.plans.policy_insights import kpis_from_claims, rules_from_claims
 from claimgauge.sources import claims as claim_tables, external_csv, policies, reports
-from claimgauge.sources.order_claims import order_claims
+from catalog.order_claims import order_claims
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +47,7 @@ EVENTS = [
     PolicyChangeEvent("POL-004", ("NONEXISTENT",), "removed", dt.date(1999, 7, 1), "Nothing affected"),
 ]
 WEEKS = 12
+RULE_LISTS = ("covered_cpt_codes", "diagnosis_constraints", "documentation_requirements")
 
 
 def query(function: Query) -> Query:
@@ -108,6 +111,11 @@ def cluster_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.policy_seeds(stored_claims(spark, sf_dir))
 
 
+def stored_rules(claims: DataFrame) -> DataFrame:
+    """The rules that the claims suggest, as a stored table: matching reads them several times."""
+    return materialize(rules_from_claims(claims), "policy-rules")
+
+
 def external_rows(claims: DataFrame) -> DataFrame:
     """Claims in the ten external columns, with all the statuses, date styles and gaps of such files."""
     denied = F.col("denial_flag") == "Y"
@@ -164,27 +172,38 @@ def write_features(spark, sf_dir):
 
 @query
 def write_policy_seeds(spark, sf_dir):
-    _, lines = policies.write_policy_seeds(cluster_seeds(spark, sf_dir), scratch_path(spark, "seeds"))
-    schema = "procedure_code STRING, claim_type STRING, specialty STRING, n_claims BIGINT, top_diagnosis_codes ARRAY<STRUCT<code: STRING, count: BIGINT>>"
-    return spark.read.schema(schema).json(lines).select(
-        "procedure_code", "claim_type", "specialty", "n_claims", F.to_json("top_diagnosis_codes").alias("top_diagnosis_codes")
+    """The parquet table, with its codes as JSON text, and the JSON lines, each under its format's name."""
+    parquet, lines = policies.write_policy_seeds(cluster_seeds(spark, sf_dir), scratch_path(spark, "seeds"))
+    table = spark.read.parquet(parquet)
+    listed = table.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(
+        "top_diagnosis_codes:string", "top_diagnosis_codes:array<struct<code:string,count:bigint>>"
     )
+    written = spark.read.schema(", ".join(re.sub(":", " ", field, count=1) for field in re.split(r",(?![^<]*>)", listed))).json(lines)
+    rows = written.withColumn("top_diagnosis_codes", F.to_json("top_diagnosis_codes")).withColumn("kind", F.lit("jsonl"))
+    return table.withColumn("kind", F.lit("parquet")).unionByName(rows)
 
 
 @query
 def write_policy_docs(spark, sf_dir):
     docs = policy_docs.render_policy_docs(cluster_seeds(spark, sf_dir))
     path = policies.write_policy_docs(docs, scratch_path(spark, "policy-docs"))
-    return spark.read.parquet(path).select("file_name", F.length("md").alias("n_chars"))
+    return spark.read.parquet(path).select("file_name", "md")
+
+
+@query
+def parse_policy_files(spark, sf_dir):
+    """Rules parsed from Markdown files, one per policy, as a folder of documents holds them."""
+    docs = policy_docs.render_policy_docs(cluster_seeds(spark, sf_dir))
+    folder = policies.export_policy_files(docs, scratch_path(spark, "policy-files"))
+    rules = policies.load_policy_rules(spark, policies.parse_policies_dir(spark, folder, scratch_path(spark, "policy-rules")))
+    return rules.withColumns({name: as_text(name) for name in RULE_LISTS})
 
 
 @query
 def load_policy_rules(spark, sf_dir):
     rules = rules_from_claims(stored_claims(spark, sf_dir))
     path = policies.write_policy_rules(rules, scratch_path(spark, "policy-rules"))
-    return policies.load_policy_rules(spark, path).select(
-        "policy_id", "site_of_service", as_text("diagnosis_constraints").alias("diagnosis_constraints"), "source_file"
-    )
+    return policies.load_policy_rules(spark, path).withColumns({name: as_text(name) for name in RULE_LISTS})
 
 
 @query
@@ -272,6 +291,24 @@ def validate_issues(spark, sf_dir):
     return issues.withColumn("examples", as_text("examples"))
 
 
+@query
+def column_presence(spark, sf_dir):
+    """A stored table without two of the columns, checked as it is loaded."""
+    path = claim_tables.save_claims(order_claims(spark, sf_dir).drop("facility_id", "supplier_type"), scratch_path(spark, "claims"))
+    issues = validation.validate_issues(claim_tables.load_claims(spark, path))
+    return issues.withColumn("examples", as_text("examples"))
+
+
+@query
+def zero_variance(spark, sf_dir):
+    """A table whose paid amounts are all the same, with a column that nobody knows and that is mostly null."""
+    claims = order_claims(spark, sf_dir).withColumns(
+        {"paid_amount": F.lit(10.0), "note": F.when(F.col("claim_type") == "Pharmacy", F.lit("x"))}
+    )
+    issues = validation.validate_issues(claims)
+    return issues.where("rule = 'zero_variance' OR message LIKE '%note%'").withColumn("examples", as_text("examples"))
+
+
 @query
 def route_valid_rows(spark, sf_dir):
     routed = validation.route_valid_rows(with_faults(order_claims(spark, sf_dir)))
@@ -333,6 +370,16 @@ def nearest_quantile(spark, sf_dir):
     )
 
 
+@query
+def continuous_quantile(spark, sf_dir):
+    """Quantiles of a ratio, whose values hardly repeat, and of the same values squeezed into one hair's breadth."""
+    claims = stored_claims(spark, sf_dir, ("claim_type", "billed_amount", "allowed_amount")).where("allowed_amount > 0")
+    ratio = F.col("billed_amount") / F.col("allowed_amount")
+    values = claims.select(F.explode(F.array(F.struct(F.lit("ratio").alias("kind"), ratio.alias("v")),
+                                             F.struct(F.lit("close").alias("kind"), (1000 + ratio / 1e6).alias("v")))).alias("x")).select("x.*")
+    return order_stats.nearest_quantiles(values, ["kind"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+
+
 @query
 def exact_median(spark, sf_dir):
     amounts = stored_claims(spark, sf_dir, ("provider_id", "billed_amount"))
@@ -348,7 +395,7 @@ def top_k_codes(spark, sf_dir):
 @query
 def policy_kpis(spark, sf_dir):
     claims = stored_claims(spark, sf_dir)
-    rows = kpis_from_claims(claims, rules_from_claims(claims))
+    rows = kpis_from_claims(claims, stored_rules(claims))
     return rows.withColumns({"top_dx": as_text("top_dx"), "top_specialties": as_text("top_specialties")})
 
 
@@ -387,6 +434,28 @@ def benchmark_compare(spark, sf_dir):
     return benchmarks.benchmark_compare(order_claims(spark, sf_dir))
 
 
+@query
+def flagged_count(spark, sf_dir):
+    return benchmarks.flagged_count(benchmarks.benchmark_compare(order_claims(spark, sf_dir)))
+
+
+@query
+def odd_amounts(spark, sf_dir):
+    """Totals per claim type of amounts of which some are not a number or infinite."""
+    amount = F.when((F.col("claim_type") == "Pharmacy") & (F.col("denial_flag") == "Y"), F.lit(float("nan"))).when(
+        (F.col("claim_type") == "Institutional") & (F.col("denial_flag") == "Y"), F.lit(float("inf"))
+    )
+    claims = order_claims(spark, sf_dir).withColumn("allowed_amount", F.coalesce(amount, F.col("allowed_amount")))
+    totals = claims.groupBy("claim_type").agg(*money.sum_parts("allowed_amount", "allowed"))
+    total = money.total("allowed")
+    return totals.select(
+        "claim_type",
+        F.isnan(total).alias("not_a_number"),
+        (total == float("inf")).alias("infinite"),
+        F.when(F.abs(total) < 1e15, F.round(total, 2)).alias("total_allowed"),
+    )
+
+
 @query
 def period_metrics(spark, sf_dir):
     return policy_events.period_metrics(order_claims(spark, sf_dir))
@@ -419,15 +488,16 @@ def match_score(spark, sf_dir):
 @query
 def match_claims_to_policies(spark, sf_dir):
     claims = stored_claims(spark, sf_dir)
-    matched = matching.match_claims_to_policies(claims, rules_from_claims(claims))
+    matched = matching.match_claims_to_policies(claims, stored_rules(claims))
     return matched.select("claim_id", "procedure_code", "policy_id", "match_confidence")
 
 
 @query
 def match_claims_by_join(spark, sf_dir):
-    """The same with the strategy for rule sets beyond broadcast size."""
+    """The same with rules that were written to and read from storage."""
     claims = stored_claims(spark, sf_dir)
-    matched = matching.match_claims_to_policies(claims, rules_from_claims(claims), broadcast_entries=0)
+    path = policies.write_policy_rules(rules_from_claims(claims), scratch_path(spark, "policy-rules"))
+    matched = matching.match_claims_to_policies(claims, policies.load_policy_rules(spark, path))
     return matched.select("claim_id", "procedure_code", "policy_id", "match_confidence")
 
 
@@ -437,7 +507,7 @@ def match_claims_by_join(spark, sf_dir):
 @query
 def rank_policies(spark, sf_dir):
     claims = stored_claims(spark, sf_dir)
-    return kpis.rank_policies(kpis_from_claims(claims, rules_from_claims(claims)), "denial_rate")
+    return kpis.rank_policies(kpis_from_claims(claims, stored_rules(claims)), "denial_rate")
 
 
 @query
@@ -515,8 +585,7 @@ def render_policy_docs(spark, sf_dir):
 @query
 def parse_policy_docs(spark, sf_dir):
     rules = rules_from_claims(stored_claims(spark, sf_dir))
-    lists = ("covered_cpt_codes", "diagnosis_constraints", "documentation_requirements")
-    return rules.withColumns({name: as_text(name) for name in lists})
+    return rules.withColumns({name: as_text(name) for name in RULE_LISTS})
 
 
 @query
@@ -571,10 +640,10 @@ def report_benchmarks(spark, sf_dir):
 @query
 def report_policy_insights(spark, sf_dir):
     claims = stored_claims(spark, sf_dir)
-    return kpis.rank_policies(kpis_from_claims(claims, rules_from_claims(claims)))
+    return kpis.rank_policies(kpis_from_claims(claims, stored_rules(claims)))
 
 
 @query
 def match_counts(spark, sf_dir):
     claims = stored_claims(spark, sf_dir)
-    return kpis.match_counts(kpis_from_claims(claims, rules_from_claims(claims)))
+    return kpis.match_counts(kpis_from_claims(claims, stored_rules(claims)))

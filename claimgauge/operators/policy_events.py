@@ -129,8 +129,7 @@ def policy_impact(
     if events:
         measured = (
             claims.where(reduce(lambda a, b: a | b, conditions))
-            .withColumn("hit", F.explode(F.array(*periods)))
-            .where(F.col("hit.period").isNotNull())
+            .withColumn("hit", F.explode(F.filter(F.array(*periods), lambda hit: hit["period"].isNotNull())))
             .groupBy("hit.position", "hit.period")
             .agg(*_measures())
             .select("position", "period", F.struct(*[v.alias(m) for m, v in _metric_columns().items()]).alias("m"))

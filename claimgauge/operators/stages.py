@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths handed out per application and not removed yet.
+_HANDED_OUT: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, which executors share.
@@ -24,16 +29,41 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/claimgauge/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/claimgauge/{label}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that was written.
+    """Write ``df`` to the shared folder and return the table that was written; this runs a job.
 
     Later steps start from stored files, so a lost executor costs them nothing that lies before
-    this point, and the optimizer knows the real size of the table.
+    this point, and the optimizer knows the real size of the table. The table stays until
+    :func:`release_stages`, or the end of the :func:`owned_stages` that it was made in.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession, first: int = 0) -> None:
+    """Remove intermediate tables of this application, from the ``first`` one handed out.
+
+    DataFrames that read them can no longer be run.
+    """
+    paths = _HANDED_OUT.get(spark.sparkContext.applicationId, [])
+    configuration = spark._jsc.hadoopConfiguration()
+    while len(paths) > first:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(configuration).delete(path, True)
+
+
+@contextmanager
+def owned_stages(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that are made inside when it ends, also after an error."""
+    first = len(_HANDED_OUT.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release_stages(spark, first)

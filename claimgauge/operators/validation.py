@@ -105,13 +105,14 @@ def _scan(claims: DataFrame) -> DataFrame:
 def _examples(claims: DataFrame) -> DataFrame:
     """Up to five smallest unaccepted values of each checked column.
 
-    Claims are reduced to distinct combinations of the checked columns, of which sound data has
-    few; only then does each column get rows of its own. The row number is limited on the map
+    Only claims with such a value are looked at, and reduced to distinct combinations of the checked
+    columns; only then does each column get rows of its own. The row number is limited on the map
     side, so a column full of distinct garbage never gathers in one task.
     """
     bad = " ".join(f"WHEN '{name}' THEN {_unaccepted('value', accepted)}" for name, accepted in ACCEPTED.items())
     ranked = (
         claims.select(*ACCEPTED)
+        .where(" OR ".join(_unaccepted(name, accepted) for name, accepted in ACCEPTED.items()))
         .distinct()
         .unpivot([], list(ACCEPTED), "column_name", "value")
         .where(f"CASE column_name {bad} END")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimgauge.config import PipelineConfig
 from claimgauge.operators import appeals, benchmarks, detection, features, policy_events, report_tables, validation
-from claimgauge.operators.stages import materialize
+from claimgauge.operators.stages import materialize, owned_stages
 from claimgauge.sources.claims import load_claims, load_table, write_features
 from claimgauge.sources.reports import write_reports
 
@@ -59,8 +59,13 @@ def run_all(spark: SparkSession, claims_path: str, output: str, config: Pipeline
     """Run every stage from stored claims to stored report tables.
 
     Stages hand over written tables: the columns a later stage needs are read again from parquet,
-    which costs less than keeping all claims in executor memory.
+    which costs less than keeping all claims in executor memory. Intermediate tables are removed at the end.
     """
+    with owned_stages(spark):
+        return _run(spark, claims_path, output, config)
+
+
+def _run(spark: SparkSession, claims_path: str, output: str, config: PipelineConfig) -> dict[str, str]:
     claims = load_claims(spark, claims_path)
     check_claims(claims, output)
     tables = write_features(features.all_features(claims), output)

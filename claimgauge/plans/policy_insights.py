@@ -8,7 +8,7 @@ from claimgauge.operators.kpis import match_counts, policy_kpis, rank_policies,
 from claimgauge.operators.matching import match_claims_to_policies
 from claimgauge.operators.policy_docs import parse_policy_docs, render_policy_docs
 from claimgauge.operators.seeds import policy_seeds
-from claimgauge.operators.stages import materialize
+from claimgauge.operators.stages import materialize, owned_stages
 from claimgauge.sources.claims import load_claims
 from claimgauge.sources.policies import load_policy_rules
 from claimgauge.sources.reports import write_reports
@@ -27,12 +27,13 @@ def policy_insights(
     spark: SparkSession, claims_path: str, rules_path: str, output: str, rank_by: str = "total_amount"
 ) -> dict[str, str]:
     """Match stored claims to stored rules; write KPIs, the ranked table and match counts."""
-    kpis = materialize(kpis_from_claims(load_claims(spark, claims_path), load_policy_rules(spark, rules_path)), "kpis")
-    return write_reports(
-        {
-            "policy_kpis": sort_kpis(kpis),
-            "report_policy_insights": rank_policies(kpis, rank_by),
-            "match_counts": match_counts(kpis),
-        },
-        output,
-    )
+    with owned_stages(spark):
+        kpis = materialize(kpis_from_claims(load_claims(spark, claims_path), load_policy_rules(spark, rules_path)), "kpis")
+        return write_reports(
+            {
+                "policy_kpis": sort_kpis(kpis),
+                "report_policy_insights": rank_policies(kpis, rank_by),
+                "match_counts": match_counts(kpis),
+            },
+            output,
+        )

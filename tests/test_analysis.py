@@ -171,3 +171,11 @@ def test_trend_band_uses_the_population_deviation(make_claims):
     rows = report_tables.report_utilization_trend(make_claims(*[{"service_date": d} for d in starts])).collect()
     assert [r["rolling_4w_claims"] for r in rows] == [1.0, 2.0]
     assert (rows[0]["band_mean"], rows[0]["band_upper"], rows[0]["band_lower"]) == (1.5, 2.5, 0.5)
+
+
+@pytest.mark.parametrize("odd", [[float("nan")], [float("inf")], [float("inf"), float("-inf")], [1e300, 2.0], []])
+def test_sums_of_odd_amounts_are_those_of_doubles(make_claims, odd):
+    amounts = [1.25, 2.5, *odd]
+    claims = make_claims(*[{"allowed_amount": a} for a in amounts]).repartition(3)
+    total = report_tables.report_key_metrics(claims, claims.limit(0)).where("metric = 'total_allowed'").first()["value"]
+    assert total == pytest.approx(sum(amounts), nan_ok=True)

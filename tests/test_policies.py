@@ -145,9 +145,17 @@ def test_round_trip(seed_table):
 def test_files(seed_table, spark, tmp_path):
     docs = render_policy_docs(seed_table)
     policies.export_policy_files(docs, str(tmp_path / "docs"))
-    assert sorted(os.listdir(tmp_path / "docs")) == sorted(r["file_name"] for r in docs.collect())
+    exported = [name for name in os.listdir(tmp_path / "docs") if name.startswith("document=")]
+    assert sorted(f"{name.removeprefix('document=')}.md" for name in exported) == sorted(r["file_name"] for r in docs.collect())
+    assert sorted(policies.read_policy_files(spark, str(tmp_path / "docs")).collect()) == sorted(docs.select("file_name", "md").collect())
     path = policies.parse_policies_dir(spark, str(tmp_path / "docs"), str(tmp_path / "rules"))
     assert sorted(policies.load_policy_rules(spark, path).collect()) == sorted(parse_policy_docs(docs).collect())
+    (tmp_path / "plain").mkdir()
+    for r in docs.collect():
+        (tmp_path / "plain" / r["file_name"]).write_text(r["md"], encoding="utf-8")
+    (tmp_path / "plain" / "notes.txt").write_text("no policy")
+    path = policies.parse_policies_dir(spark, str(tmp_path / "plain"), str(tmp_path / "rules2"))
+    assert sorted(policies.load_policy_rules(spark, path).collect()) == sorted(parse_policy_docs(docs).collect())
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         policies.parse_policies_dir(spark, str(tmp_path / "nowhere"), str(tmp_path / "x"))
 

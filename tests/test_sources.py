@@ -5,11 +5,13 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import by_key
 from claimgauge import streaming
 from claimgauge.config import PipelineConfig, PolicyChangeEvent
-from claimgauge.operators.validation import validate_claims
+from claimgauge.operators.stages import shared_folder
+from claimgauge.operators.validation import validate_claims, validate_issues
 from claimgauge.plans.pipeline import ValidationFailed, run_all
 from claimgauge.plans.policy_insights import policy_insights, rules_from_claims
 from claimgauge.schema import CLAIMS
@@ -72,6 +74,45 @@ def test_bad_external_files(spark, csv, tmp_path):
         read_external_csv(spark, str(tmp_path / "nowhere.csv"))
 
 
+@pytest.mark.parametrize(
+    "row",
+    [
+        LINES[0] + ",one more",
+        "ext-07,m-31,doc 4,640.40,2022-08-09,M54.5,97110,Physical Therapy",
+        'ext-07,m-31,doc 4,640.40,2022-08-09,M54.5,97110,"Physical\nTherapy",Professional,Approved,x',
+    ],
+)
+def test_irregular_rows_fail(spark, csv, row):
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        load_external_csv(spark, csv(HEADER, *LINES, row)).collect()
+
+
+def test_quoted_fields(spark, csv):
+    row = 'ext-07,"m ""31""","doc, 4",640.40,2022-08-09,M54.5,97110,"Physical\nTherapy",Professional,Approved,x'
+    got = load_external_csv(spark, csv(HEADER, row), multi_line=True).collect()
+    assert [(r["member_id"], r["provider_id"], r["specialty"]) for r in got] == [('m "31"', "doc, 4", "Physical\nTherapy")]
+
+
+def test_files_with_different_headers_fail(spark, tmp_path):
+    swapped = HEADER.replace(" ClaimID,PatientID ", "PatientID,ClaimID")
+    for name, header in (("a.csv", HEADER), ("b.csv", swapped)):
+        (tmp_path / name).write_text(header + "\n" + LINES[0] + "\n")
+    with pytest.raises(Exception, match="[Hh]eader"):
+        load_external_csv(spark, str(tmp_path / "*.csv")).collect()
+
+
+def test_claims_keep_the_columns_of_their_files(spark, five_claims, tmp_path):
+    changed = five_claims.drop("facility_id", "units").withColumn("note", F.lit(None).cast("string")).withColumn("paid_amount", F.lit(1))
+    claims = load_claims(spark, save_claims(changed, str(tmp_path / "claims")))
+    assert set(claims.columns) == set(changed.columns) and claims.columns[-1] == "note"
+    assert claims.schema["paid_amount"].dataType == CLAIMS["paid_amount"].dataType
+    with pytest.raises(ValidationFailed, match="1 critical"):
+        run_all(spark, str(tmp_path / "claims"), str(tmp_path / "out"))
+    assert read(spark, str(tmp_path / "out/validation_issues.json"))[0]["rule"] == "column_presence"
+    extra = save_claims(five_claims.withColumn("note", F.lit(None).cast("string")), str(tmp_path / "extra"))
+    assert "Column 'note' has 100.0% nulls" in [r["message"] for r in validate_issues(load_claims(spark, extra)).collect()]
+
+
 def test_claims_round_trip(spark, five_claims, tmp_path):
     path = save_claims(five_claims, str(tmp_path / "deep" / "claims"))
     assert sorted(map(str, load_claims(spark, path).collect())) == sorted(map(str, five_claims.collect()))
@@ -99,12 +140,19 @@ def read(spark, path):
     return [json.loads(r["value"]) for r in spark.read.text(path).collect()]
 
 
+def stored_tables(spark):
+    folder = os.path.join(shared_folder(spark).removeprefix("file://"), "claimgauge")
+    return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+
+
 def test_full_run(spark, five_claims, tmp_path):
     claims = save_claims(five_claims, str(tmp_path / "claims"))
     config = PipelineConfig(
         policy_events=(PolicyChangeEvent("E", ("CPT",), "removed", dt.date(2023, 2, 20), "all visits"),)
     )
+    before = stored_tables(spark)
     written = run_all(spark, claims, str(tmp_path / "out"), config)
+    assert stored_tables(spark) == before
     assert {name for name in written if name.startswith("report_")} == {
         "report_key_metrics", "report_cost_histogram", "report_utilization_trend", "report_denial_funnel",
         "report_flag_counts", "report_top_flags", "report_policy_impact", "report_benchmarks",
