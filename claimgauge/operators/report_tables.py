@@ -106,7 +106,11 @@ def report_utilization_trend(claims: DataFrame) -> DataFrame:
 
 def report_denial_funnel(claims: DataFrame) -> DataFrame:
     """Denials and appeals per reason, most denials first."""
-    return denial_categories(claims).select("category", "denial_count", "appeal_count")
+    return funnel_rows(denial_categories(claims))
+
+
+def funnel_rows(categories: DataFrame) -> DataFrame:
+    return categories.select("category", "denial_count", "appeal_count")
 
 
 def report_top_flags(flags: DataFrame) -> DataFrame:
@@ -136,7 +140,10 @@ def report_policy_impact(
     claims: DataFrame, events: list[PolicyChangeEvent], config: DetectionConfig = DetectionConfig()
 ) -> DataFrame:
     """``policy_id, metric, pre, post, change`` rows."""
+    return impact_rows(policy_impact(claims, events, config))
+
 
+def impact_rows(impact: DataFrame) -> DataFrame:
     def row(metric: str, name: str, change: str) -> Column:
         return F.struct(
             F.lit(metric).alias("metric"),
@@ -151,12 +158,16 @@ def report_policy_impact(
         row("Denial Rate", "denial_rate", "denial_rate_change"),
         row("OON Rate", "oon_rate", "oon_rate_change"),
     )
-    return policy_impact(claims, events, config).select("policy_id", F.explode(rows).alias("row")).select("policy_id", "row.*")
+    return impact.select("policy_id", F.explode(rows).alias("row")).select("policy_id", "row.*")
 
 
 def report_benchmarks(claims: DataFrame, baselines: tuple[BenchmarkBaseline, ...] = DEFAULT_BASELINES) -> DataFrame:
     """The comparison with a status column."""
-    return benchmark_compare(claims, baselines).select(
+    return benchmark_rows(benchmark_compare(claims, baselines))
+
+
+def benchmark_rows(comparison: DataFrame) -> DataFrame:
+    return comparison.select(
         "metric_name",
         "internal_value",
         "baseline_value",

@@ -67,7 +67,7 @@ def _issue(level: str, rule: str, name: str, message: str, n: str, position: int
     )
 
 
-def _scan(claims: DataFrame) -> DataFrame:
+def scan(claims: DataFrame) -> DataFrame:
     """One row, ``total_rows`` and ``issues``, from a single pass over the claims.
 
     All counters have a fixed width, so the pass is one hash aggregation with map-side sums.
@@ -123,9 +123,12 @@ def _examples(claims: DataFrame) -> DataFrame:
     return ranked.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("examples"))
 
 
-def validate_issues(claims: DataFrame) -> DataFrame:
-    """One row per issue: ``level, rule, message, affected_rows, examples``, in checking order."""
-    issues = _scan(claims).select(F.explode("issues").alias("issue")).select("issue.*")
+def validate_issues(claims: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """One row per issue: ``level, rule, message, affected_rows, examples``, in checking order.
+
+    ``scanned`` is the claims' :func:`scan`, if it is there already.
+    """
+    issues = (scan(claims) if scanned is None else scanned).select(F.explode("issues").alias("issue")).select("issue.*")
     none = F.array().cast("array<string>")
     if _missing(claims):
         return issues.select("level", "rule", "message", "affected_rows", none.alias("examples"))
@@ -137,13 +140,13 @@ def validate_issues(claims: DataFrame) -> DataFrame:
     )
 
 
-def validate_claims(claims: DataFrame) -> DataFrame:
+def validate_claims(claims: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """One row: ``passed, total_rows, critical_issues, advisory_issues``."""
 
     def count(level: str) -> Column:
         return F.size(F.filter("issues", lambda issue: issue["level"] == level)).cast("long")
 
-    return _scan(claims).select(
+    return (scan(claims) if scanned is None else scanned).select(
         (count("critical") == 0).alias("passed"),
         "total_rows",
         count("critical").alias("critical_issues"),

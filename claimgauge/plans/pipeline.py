@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimgauge.config import PipelineConfig
 from claimgauge.operators import appeals, benchmarks, detection, features, policy_events, report_tables, validation
@@ -16,10 +16,11 @@ class ValidationFailed(ValueError):
 
 
 def check_claims(claims: DataFrame, output: str) -> None:
-    """Write the validation report; raise if there are critical issues."""
+    """Write the validation report, from one scan of the claims; raise if there are critical issues."""
+    scanned = materialize(validation.scan(claims), "scan")
+    issues = validation.validate_issues(claims, scanned)
     written = write_reports(
-        {"validation_report": validation.validate_claims(claims), "validation_issues": validation.validate_issues(claims)},
-        output,
+        {"validation_report": validation.validate_claims(claims, scanned), "validation_issues": issues}, output
     )
     summary = claims.sparkSession.read.json(written["validation_report"]).first()
     if not summary["passed"]:
@@ -27,31 +28,34 @@ def check_claims(claims: DataFrame, output: str) -> None:
 
 
 def analyze(claims: DataFrame, providers: DataFrame, config: PipelineConfig) -> dict[str, DataFrame]:
-    """The detection and analysis tables, by report name."""
-    comparison = benchmarks.benchmark_compare(claims, config.benchmarks)
-    return {
-        "flags": detection.sort_flags(detection.all_flags(providers, config.detection)),
+    """The detection and analysis tables, by report name; those that several reports read are stored."""
+    stored = {
+        "flags": detection.all_flags(providers, config.detection),
         "policy_impact": policy_events.policy_impact(claims, list(config.policy_events), config.detection),
-        "appeals_report": appeals.appeals_funnel(claims, config.cost_per_appeal),
         "denial_categories": appeals.denial_categories(claims),
+        "benchmark_report": benchmarks.benchmark_compare(claims, config.benchmarks),
+    }
+    stored = {name: materialize(table, name) for name, table in stored.items()}
+    return {
+        **stored,
+        "appeals_report": appeals.appeals_funnel(claims, config.cost_per_appeal),
         "top_appeal_providers": appeals.top_appeal_providers(claims),
-        "benchmark_report": comparison,
-        "benchmark_flagged": benchmarks.flagged_count(comparison),
+        "benchmark_flagged": benchmarks.flagged_count(stored["benchmark_report"]),
     }
 
 
-def report(claims: DataFrame, flags: DataFrame, config: PipelineConfig) -> dict[str, DataFrame]:
-    """The report tables, by name."""
-    events = list(config.policy_events)
+def report(claims: DataFrame, results: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The report tables, by name, from the claims and the tables of :func:`analyze`."""
+    flags = results["flags"]
     return {
         "report_key_metrics": report_tables.report_key_metrics(claims, flags),
         "report_cost_histogram": report_tables.report_cost_histogram(claims),
         "report_utilization_trend": report_tables.report_utilization_trend(claims),
-        "report_denial_funnel": report_tables.report_denial_funnel(claims),
+        "report_denial_funnel": report_tables.funnel_rows(results["denial_categories"]),
         "report_flag_counts": report_tables.flag_counts(flags),
         "report_top_flags": report_tables.report_top_flags(flags),
-        "report_policy_impact": report_tables.report_policy_impact(claims, events, config.detection),
-        "report_benchmarks": report_tables.report_benchmarks(claims, config.benchmarks),
+        "report_policy_impact": report_tables.impact_rows(results["policy_impact"]),
+        "report_benchmarks": report_tables.benchmark_rows(results["benchmark_report"]),
     }
 
 
@@ -62,14 +66,12 @@ def run_all(spark: SparkSession, claims_path: str, output: str, config: Pipeline
     which costs less than keeping all claims in executor memory. Intermediate tables are removed at the end.
     """
     with owned_stages(spark):
-        return _run(spark, claims_path, output, config)
-
-
-def _run(spark: SparkSession, claims_path: str, output: str, config: PipelineConfig) -> dict[str, str]:
-    claims = load_claims(spark, claims_path)
-    check_claims(claims, output)
-    tables = write_features(features.all_features(claims), output)
-    enriched = load_table(spark, tables["claims"])
-    results = write_reports(analyze(enriched, load_table(spark, tables["provider"]), config), output)
-    flags = materialize(detection.all_flags(load_table(spark, tables["provider"]), config.detection), "flags")
-    return {**tables, **results, **write_reports(report(enriched, flags, config), output)}
+        claims = load_claims(spark, claims_path)
+        check_claims(claims, output)
+        tables = write_features(features.all_features(claims), output)
+        enriched = load_table(spark, tables["claims"])
+        results = analyze(enriched, load_table(spark, tables["provider"]), config)
+        by_count = results["denial_categories"].orderBy(F.desc("denial_count"), "category")
+        sorted_tables = {"flags": detection.sort_flags(results["flags"]), "denial_categories": by_count}
+        written = write_reports({**results, **sorted_tables}, output)
+        return {**tables, **written, **write_reports(report(enriched, results), output)}
