@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from claimgauge.llm.common import store
 
 #: Bound of the training sample.
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 400
+#: Ids are counted by so many first bits of their hashes to find the sample.
+TOP_BITS = 14
 DIMENSIONS = 1 << 12
 EPOCHS = 4
 RATE, DECAY = 0.5, 1e-5
@@ -141,7 +143,9 @@ def fit(samples: list[tuple[str, np.ndarray]]) -> LanguageModel:
     families = tuple(sorted({family_of(n) for n in names}))
     languages = {f: tuple(n for n in names if family_of(n) == f) for f in families}
     label = np.array([language for language, _ in samples])
-    x = np.stack([np.append(v, np.float32(1)) for _, v in samples]) if samples else np.zeros((0, DIMENSIONS + 1), np.float32)
+    x = np.ones((len(samples), DIMENSIONS + 1), np.float32)
+    for i, (_, v) in enumerate(samples):
+        x[i, :-1] = v
     of_family = np.array([family_of(language) for language in label])
     if len(families) == 1:
         family_weights = np.zeros((1, DIMENSIONS + 1), np.float32)
@@ -161,17 +165,17 @@ def fit(samples: list[tuple[str, np.ndarray]]) -> LanguageModel:
 def training_sample(rows: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
     """At most so many ``(lang, features)`` per language of ``doc_id, text, lang``, by the hash of the id.
 
-    Which ones is found on ids alone: hashes are counted by their first 16 bits, and only those up to
+    Which ones is found on ids alone: hashes are counted by their first bits, and only those up to
     the place where the counts reach the bound are ranked.
     """
     import pyarrow as pa
 
     narrow = rows.where("lang IS NOT NULL").select("lang", F.xxhash64("doc_id").alias("h"))
     before = Window.partitionBy("lang").orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
-    counted = narrow.groupBy("lang", F.shiftright("h", 48).alias("top")).agg(F.count("*").alias("n"))
+    counted = narrow.groupBy("lang", F.shiftright("h", 64 - TOP_BITS).alias("top")).agg(F.count("*").alias("n"))
     needed = counted.where(F.col("n") > 0).withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     reach = needed.where(F.col("n_before") < per_language).groupBy("lang").agg(F.max("top").alias("reach"))
-    near = narrow.join(reach, "lang").where(F.shiftright("h", 48) <= F.col("reach"))
+    near = narrow.join(reach, "lang").where(F.shiftright("h", 64 - TOP_BITS) <= F.col("reach"))
     best = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language)
     last = {r["lang"]: r["h"] for r in best.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not last:
@@ -195,7 +199,7 @@ def training_sample(rows: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     sample = store(rows.where(within).select(F.xxhash64("doc_id").alias("h"), "lang", "text").mapInArrow(run, "h long, lang string, x binary"), "language-sample")
     ranked = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))).where(F.col("k") <= per_language)
     found = ranked.orderBy("h", "lang", "x").collect()
-    return [(r["lang"], np.frombuffer(r["x"], "<f2").astype(np.float32)) for r in found]
+    return [(r["lang"], np.frombuffer(r["x"], "<f2")) for r in found]
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str | Column]) -> DataFrame:
