@@ -50,7 +50,7 @@ def _share_of_lines(pattern: str) -> Column:
 RULES = (
     Rule("symbols", lambda: F.col("n_symbols") * 10 > F.col("n_words")),
     Rule("word_length", lambda: ~(F.col("word_chars") / F.col("n_words")).between(2, 15)),
-    Rule("repeated_lines", lambda: F.col("n_dup_lines") * 10 > 3 * F.size(F.split("text", "\n"))),
+    Rule("repeated_lines", lambda: F.col("n_dup_lines") * 2 > F.size(F.split("text", "\n"))),
     Rule("capitals", lambda: _count_of(F.col("text"), "[^\\p{Lu}]+") * 10 > 4 * F.col("word_chars")),
     Rule("letters", lambda: _count_of(F.col("text"), "\\P{L}+") * 2 < F.col("word_chars")),
     Rule("wordless", lambda: F.size(F.filter("words", lambda w: w.rlike("\\p{L}"))) * 10 < 7 * F.col("n_words")),
@@ -194,7 +194,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        CASE WHEN base_failed THEN false ELSE
          n_symbols * 10 <= n_words
          AND word_chars / n_words BETWEEN 2 AND 15
-         AND n_dup_lines * 10 <= 3 * n_lines
+         AND n_dup_lines * 2 <= n_lines
          AND length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) * 10 <= 4 * word_chars
          AND length(regexp_replace(text, '\P{L}+', '', 'g')) * 2 >= word_chars
          AND len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) * 10 >= 7 * n_words

@@ -47,7 +47,7 @@ def examples():
         "symbols": " ".join(w + "***" for w in prose(80).split()),
         "capitals": prose(80).upper(),
         "wordless": " | ".join(prose(60).split()).replace("|", "12"),
-        "repeated_lines": "\n".join([prose(6, 1), prose(6, 2)] * 2 + [prose(60), prose(6, 1), prose(6, 2), prose(6, 1)]),
+        "repeated_lines": "\n".join([prose(60), *[prose(2, 1), prose(2, 2)] * 4]),
         "ellipses": "\n".join(prose(6, i) + "..." for i in range(12)),
         "bullets": "\n".join("- " + prose(6, i) for i in range(12)),
         "letters": " ".join(w[:3] + "%07d" % i for i, w in enumerate(prose(80).split())),
