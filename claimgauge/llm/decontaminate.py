@@ -177,7 +177,7 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs.select("doc_id", "text"))
     bad = store(phrase_matches(rows, items).select("uid").distinct(), "contaminated-ids")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"), "doc_id", "text")
-    return whole.withColumn("uid", row_key()).join(bad, "uid", "left_anti").select("whole_row.*")
+    return whole.withColumn("uid", row_key()).join(_small(bad, BROADCAST_ROWS), "uid", "left_anti").select("whole_row.*")
 
 
 OP10_SQL = r"""

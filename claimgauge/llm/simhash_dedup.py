@@ -34,6 +34,8 @@ ROTATIONS, THIRDS = (0, 21, 42), (21, 21, 22)
 NODE_SIZE = 4096
 #: Bits by which a larger node pair is split at a time.
 SPLIT_BITS = 6
+#: Most keys of rows that are broadcast, 16 bytes each.
+BROADCAST_KEYS = 500_000
 #: Shingles that are counted at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 18
 
@@ -280,9 +282,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """``fp, component_id`` of every distinct fingerprint of the stored table ``doc_id, fp``.
+    """``fp, component, component_id`` of every distinct fingerprint of the stored table ``doc_id, fp``.
 
-    ``component_id`` is the smallest id of all documents whose fingerprints are linked, directly or not.
+    ``component`` is the component's smallest fingerprint, and ``component_id`` is the smallest id of all documents whose fingerprints are linked, directly or not.
     """
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
     groups = store(components(similar_fingerprints(distinct)), "components")
@@ -290,7 +292,7 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "fp")
     )
     ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return placed.select("fp", "component").join(ids, "component").select("fp", "component_id")
+    return placed.select("fp", "component").join(ids, "component").select("fp", "component", "component_id")
 
 
 def dedup_fingerprints(docs: DataFrame) -> DataFrame:
@@ -306,15 +308,32 @@ def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id; of rows with that id, one."""
-    found = dedup_fingerprints(docs.select("doc_id", "text"))
-    stay = store(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("stay_id"))
-        .agg((F.count("*") > 1).alias("repeated")),
-        "stay",
-    )
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
-    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")))
-    one = kept.where("repeated").groupBy("doc_id").agg(F.min_by("whole_row", F.xxhash64("whole_row.text")).alias("whole_row"))
-    return kept.where("NOT repeated").select("whole_row.*").union(one.select("whole_row.*"))
+    """One document of each group stays: the one with the smallest id; of several rows with that id, one.
+
+    Documents without an id stay if nothing in their group has one, one of each group.
+
+    Only the keys of rows that go meet the texts again. They are broadcast up to ``BROADCAST_KEYS``, a
+    counted number, and joined by shuffling beyond.
+    """
+    key = ["doc_id", "text_hash"]
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    prints = store(fingerprints(hashed, key), "fingerprints")
+    found = prints.join(near_duplicates(prints), "fp").groupBy(*key, "component", "component_id").agg(F.count("*").alias("n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = found.where(stays).groupBy("component").agg(F.min("text_hash").alias("first_hash"))
+    placed = found.join(first, "component", "left")
+    chosen = F.coalesce(stays & (F.col("text_hash") == F.col("first_hash")), F.lit(False))
+    judged = store(placed.select(*key, "n", chosen.alias("chosen")), "judged-rows")
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")), how)
+
+    kept = among(whole, judged.where("NOT chosen"), "left_anti")
+    repeated = judged.where("chosen AND n > 1")
+    if repeated.isEmpty():
+        return kept.select("whole_row.*")
+    one = among(kept, repeated, "left_semi").groupBy(*key).agg(F.min_by("whole_row", F.xxhash64("whole_row")).alias("whole_row"))
+    return among(kept, repeated, "left_anti").select("whole_row.*").union(one.select("whole_row.*"))

@@ -97,6 +97,18 @@ def test_documents_with_nulls_copies_and_clashing_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got})
 
 
+@pytest.mark.parametrize("broadcast", [500_000, -1])
+def test_rows_with_one_id_and_several_texts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sd, "BROADCAST_KEYS", broadcast)
+    rng = random.Random(5)
+    text = lambda: " ".join("w%d" % rng.randrange(10**6) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(3, a, "x"), (5, a, "y"), (5, b, "z"), (7, c, "p"), (7, c, "q"), (None, text(), "n"), (9, b, "o"), (None, text(), "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, whole_row string")
+    kept = sorted(r.whole_row for r in sd.dedup_stage(spark, docs, "").collect())
+    assert kept in (["m", "n", "p", "x", "z"], ["m", "n", "q", "x", "z"])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.dedup_fingerprints(docs).count() == 0
