@@ -5,9 +5,16 @@ Shared steps are common table expressions; ``sql`` puts the ones a statement nam
 
 from __future__ import annotations
 
-from claimgauge.functions.codes import SERVICE_CATEGORIES
-from claimgauge.operators import policy_docs
-from claimgauge.schema import ACCEPTED, AMOUNTS, CLAIMS, DENIAL_REASONS, REQUIRED, SPARSE
+from catalog.fixed_values import (
+    ACCEPTED,
+    AMOUNTS,
+    COLUMNS,
+    DENIAL_REASONS,
+    POLICY_DOCUMENT,
+    REQUIRED,
+    SERVICE_CATEGORIES,
+    SPARSE,
+)
 
 STEPS: dict[str, tuple[tuple[str, ...], str]] = {}
 ORACLE: dict[str, str] = {}
@@ -240,7 +247,7 @@ check("rolling_claims", "temporal", "SELECT period_type, period_start, rolling_4
 # Sources and sinks
 
 check("load_claims", "claims", "SELECT * FROM claims")
-check("load_external_csv", "external", adapted(CLAIMS.names))
+check("load_external_csv", "external", adapted(COLUMNS))
 check(
     "adapt_external_claims",
     "external",
@@ -360,7 +367,7 @@ def issue_rows(table: str) -> str:
             f"SELECT 'advisory', 'zero_variance', 'Column ''{column}'' has zero variance — suspicious for real data', "
             f"n, '' FROM (SELECT count(*) AS n, var_samp({column}) AS v FROM {table}) WHERE v = 0"
         )
-    for column in CLAIMS.names:
+    for column in COLUMNS:
         if column not in SPARSE:
             rows.append(
                 f"SELECT 'advisory', 'high_null_rate', 'Column ''{column}'' has ' || "
@@ -517,7 +524,7 @@ def document() -> str:
         *[grouped(name, 2) for name in ("avg_claim_amount", "p50_claim_amount", "p90_claim_amount")],
         pct.format("approval_rate"), pct.format("denial_rate"),
     ]
-    pieces = policy_docs.POLICY_TEMPLATE.replace("%%", "\0").split("%s")
+    pieces = POLICY_DOCUMENT.replace("%%", "\0").split("%s")
     literals = ["'" + piece.replace("\0", "%").replace("'", "''") + "'" for piece in pieces]
     return " || ".join([literals[0]] + [f"({value}) || {literal}" for value, literal in zip(values, literals[1:])])
 
@@ -958,3 +965,11 @@ SELECT count(*) AS total_claims, count(*) FILTER (WHERE r <= floor(n * 0.2)) AS
         / CAST(sum(CAST(billed_amount AS DECIMAL(18,2))) AS DOUBLE), 6) AS top_share
 FROM (SELECT billed_amount, row_number() OVER (ORDER BY billed_amount DESC) AS r, count(*) OVER () AS n FROM claims)""",
 )
+
+# Sinks, each table read back in full
+
+check("write_features_claims", "tagged", "SELECT * FROM tagged")
+for name, same in (("provider", "provider_features"), ("temporal", "temporal_features"), ("service_category", "service_category_features")):
+    ORACLE[f"write_features_{name}"] = ORACLE[same]
+for name in ("denial_categories", "top_appeal_providers", "benchmark_compare", "policy_impact", "all_flags"):
+    ORACLE[f"write_reports_{name}"] = ORACLE[name]

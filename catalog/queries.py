@@ -647,3 +647,32 @@ def report_policy_insights(spark, sf_dir):
 def match_counts(spark, sf_dir):
     claims = stored_claims(spark, sf_dir)
     return kpis.match_counts(kpis_from_claims(claims, stored_rules(claims)))
+
+
+# Sinks, each table read back in full
+
+
+def _written_features(name: str) -> Query:
+    def run(spark, sf_dir):
+        table = features.all_features(order_claims(spark, sf_dir))[name]
+        return claim_tables.load_table(spark, claim_tables.write_features({name: table}, scratch_path(spark, "features"))[name])
+
+    run.__name__ = f"write_features_{name}"
+    return run
+
+
+def _written_report(name: str) -> Query:
+    def run(spark, sf_dir):
+        table = QUERIES[name](spark, sf_dir)
+        path = reports.write_reports({name: table}, scratch_path(spark, "reports"))[name]
+        return spark.read.schema(table.schema).json(path)
+
+    run.__name__ = f"write_reports_{name}"
+    return run
+
+
+for feature_set in ("claims", "provider", "temporal", "service_category"):
+    query(_written_features(feature_set))
+REPORTS = ("denial_categories", "top_appeal_providers", "benchmark_compare", "policy_impact", "all_flags")
+for report_name in REPORTS:
+    query(_written_report(report_name))

@@ -51,6 +51,7 @@ REQUIRED = tuple(name for name in CLAIMS.names if name not in NULLABLE)
 # The nullable columns that are expected to be mostly empty.
 SPARSE = ("facility_id", "paid_date", "revenue_code", "authorization_id", "supplier_type")
 
+# The amount columns, and the values of flags.
 AMOUNTS = ("billed_amount", "allowed_amount", "paid_amount")
 
 YES_NO = ("Y", "N")
