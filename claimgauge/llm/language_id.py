@@ -175,7 +175,11 @@ def training_sample(rows: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     counted = narrow.groupBy("lang", F.shiftright("h", 64 - TOP_BITS).alias("top")).agg(F.count("*").alias("n"))
     needed = counted.where(F.col("n") > 0).withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     reach = needed.where(F.col("n_before") < per_language).groupBy("lang").agg(F.max("top").alias("reach"))
-    near = narrow.join(reach, "lang").where(F.shiftright("h", 64 - TOP_BITS) <= F.col("reach"))
+    # A row per language; joining on the language would bring all its rows into one task.
+    reached = F.lit(False)
+    for row in reach.collect():
+        reached = reached | ((F.col("lang") == row["lang"]) & (F.shiftright("h", 64 - TOP_BITS) <= row["reach"]))
+    near = narrow.where(reached)
     best = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language)
     last = {r["lang"]: r["h"] for r in best.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not last:
