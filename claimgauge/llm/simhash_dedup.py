@@ -11,6 +11,12 @@ walked within a task. Pairs of nodes with more are split by further bits as rows
 so that no task ever holds a large node. Links lead to components by repeated star contraction over
 stored tables.
 
+The stage of the pipeline links other documents: those that share ``MIN_PERCENT`` percent or more of their
+distinct word 5-shingles, counted exactly. Candidates agree in one of ``BANDS`` bands of ``BAND_HASHES``
+minimum hashes, which pairs of similarity 0.8 miss once in 9000 times. In every band's buckets all
+members are compared with one of them, then members of different components with each other, so that
+a large group of near copies costs no pairs of all its members.
+
 A null text has no words, fingerprint zero, and is linked like any other. Repeated rows and equal ids
 are kept, one result row each; ids may be null, which never name a component unless all ids in it are
 null. Other columns are not read. An empty table gives an empty result.
@@ -18,7 +24,8 @@ null. Other columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -28,6 +35,11 @@ from claimgauge.llm.common import store
 MAX_BITS = 2
 SHINGLE_WORDS = 3
 SEED = 42
+#: The stage's shingles, the least share of them that near copies have in common, and its bands of minimum hashes.
+STAGE_WORDS, MIN_PERCENT = 5, 80
+BANDS, BAND_HASHES = 30, 6
+#: Shingles whose minimum hashes are computed at once.
+HASHED_AT_ONCE = 512
 #: First bits of the three reading orders: rotations by these many bits, and the bits of the first third.
 ROTATIONS, THIRDS = (0, 21, 42), (21, 21, 22)
 #: Most fingerprints of a trie node that is walked within one task.
@@ -57,24 +69,30 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return counts.reshape(64)
 
 
-def fingerprint(text: bytes | None) -> int:
-    """The SimHash of a UTF-8 text as an unsigned number."""
+def shingle_hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of ``size`` words, in bounded pieces; fewer words are one shingle."""
     from xxhash import xxh64_intdigest
 
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
-    n = len(words) - SHINGLE_WORDS + 1
+    n = len(words) - size + 1
     if n < 2:
-        return xxh64_intdigest(joined, SEED)
+        yield np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
-    stops = (ends[SHINGLE_WORDS - 1 :] - 1).tolist()
-    counts = np.zeros(64, np.int64)
+    stops = (ends[size - 1 :] - 1).tolist()
     for at in range(0, n, CHUNK):
         spans = zip(starts[at : at + CHUNK], stops[at : at + CHUNK])
-        counts += _bit_counts(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: bytes | None) -> int:
+    """The SimHash of a UTF-8 text as an unsigned number."""
+    words = (text or b"").lower().split()
+    if not words:
+        return 0
+    n = max(1, len(words) - SHINGLE_WORDS + 1)
+    counts = sum(_bit_counts(hashes) for hashes in shingle_hashes(words, SHINGLE_WORDS))
     return int((np.uint64(1) << np.flatnonzero(counts * 2 > n).astype(np.uint64)).sum(dtype=np.uint64))
 
 
@@ -307,8 +325,86 @@ def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The distinct hashes of a UTF-8 text's word 5-shingles, sorted."""
+    return np.unique(np.concatenate(list(shingle_hashes((text or b"").lower().split(), STAGE_WORDS))))
+
+
+@lru_cache(maxsize=1)
+def _hash_family() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    factors, terms = rng.integers(0, 1 << 64, (2, BANDS * BAND_HASHES, 1), np.uint64)
+    return factors | np.uint64(1), terms
+
+
+def bands(text: bytes | None) -> np.ndarray:
+    """One key per band of minimum hashes of a text's word 5-shingles."""
+    from xxhash import xxh64_intdigest
+
+    factors, terms = _hash_family()
+    least = np.full(BANDS * BAND_HASHES, (1 << 64) - 1, np.uint64)
+    for hashes in shingle_hashes((text or b"").lower().split(), STAGE_WORDS):
+        for at in range(0, len(hashes), HASHED_AT_ONCE):
+            np.minimum(least, (hashes[at : at + HASHED_AT_ONCE] * factors + terms).min(axis=1), out=least)
+    return np.array([xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_HASHES))], np.uint64)
+
+
+def _of_texts(texts: DataFrame, column: str, of: Callable[[bytes | None], np.ndarray]) -> DataFrame:
+    """The table with its last column, ``text``, replaced by an array ``column`` of signed longs."""
+    import pyarrow as pa
+
+    keep = texts.columns[:-1]
+    source = texts.select(*keep, F.col("text").cast("binary").alias("text_bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(text.as_py()).view(np.int64) for text in batch.column(len(keep))]
+            columns = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], [*keep, column])
+
+    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField(column, T.ArrayType(T.LongType()))]))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs ``a, b`` of text hashes whose texts share ``MIN_PERCENT`` percent of their shingles or more."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(needed, "text_hash", "left_semi")
+    sets = store(_of_texts(texts.dropDuplicates(["text_hash"]), "shingles", shingle_set), "shingles")
+    sides = [sets.select(F.col("text_hash").alias(side), F.col("shingles").alias(f"of_{side}")) for side in "ab"]
+    n_a, n_b, both = F.size("of_a"), F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
+    near = F.when(100 * F.least(n_a, n_b) >= MIN_PERCENT * F.greatest(n_a, n_b), 100 * both >= MIN_PERCENT * (n_a + n_b - both))
+    return store(pairs.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"), "similar-pairs")
+
+
+def similar_texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, component`` of the texts of the stored table ``text_hash, bands`` that are linked with others."""
+    members = nodes.select("text_hash", F.explode("bands").alias("band"))
+    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("text_hash").alias("a")).where("n > 1").drop("n")
+    members = store(members.join(buckets, "band"), "band-members")
+    candidates = store(members.where("text_hash <> a").select("a", F.col("text_hash").alias("b")).distinct(), "candidates")
+    links = _similar(candidates, docs)
+    groups = store(components(links), "components")
+    # What the first member of a bucket has not linked is compared across components.
+    placed = members.select("band", "text_hash").join(groups.withColumnRenamed("node", "text_hash"), "text_hash", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "text_hash"))
+    parts = placed.groupBy("band", "component").agg(F.lit(1).alias("one")).drop("one")
+    several = parts.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = store(placed.join(several, "band", "left_semi"), "split-buckets")
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    others = parts.select("band", F.col("component").alias("other"))
+    across = parts.join(others, "band").where("component < other").select("band", "component", "other")
+    one = placed.select("band", "component", F.col("text_hash").alias("x"))
+    two = placed.select("band", F.col("component").alias("other"), F.col("text_hash").alias("y"))
+    met = one.join(across, ["band", "component"]).join(two, ["band", "other"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    more = store(met.distinct().join(candidates, ["a", "b"], "left_anti"), "candidates")
+    if more.isEmpty():
+        return groups
+    found = _similar(more, docs)
+    return groups if found.isEmpty() else store(components(links.union(found)), "components")
+
+
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id; of several rows with that id, one.
+    """One document of each group of similar texts stays: the one with the smallest id; of several rows with that id, one.
 
     Documents without an id stay if nothing in their group has one, one of each group.
 
@@ -316,9 +412,14 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     counted number, and joined by shuffling beyond.
     """
     key = ["doc_id", "text_hash"]
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    prints = store(fingerprints(hashed, key), "fingerprints")
-    found = prints.join(near_duplicates(prints), "fp").groupBy(*key, "component", "component_id").agg(F.count("*").alias("n"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    sketches = store(_of_texts(hashed, "bands", bands), "sketches")
+    nodes = store(sketches.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")), "nodes")
+    groups = similar_texts(nodes, docs).withColumnRenamed("node", "text_hash")
+    placed = nodes.select("text_hash", "least_id").join(groups, "text_hash", "left").withColumn("component", F.coalesce("component", "text_hash"))
+    ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    placed = placed.join(ids, "component").select("text_hash", "component", "component_id")
+    found = sketches.select(*key).join(placed, "text_hash").groupBy(*key, "component", "component_id").agg(F.count("*").alias("n"))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     first = found.where(stays).groupBy("component").agg(F.min("text_hash").alias("first_hash"))
     placed = found.join(first, "component", "left")
