@@ -2,8 +2,9 @@
 
 Between two characters that are no white space, a single space is always a boundary of the byte-level
 pre-tokenizer and belongs to what follows. So a text is cut there and every distinct chunk is encoded
-once per worker. Texts with other runs of spaces are encoded in one call. Both give the ids of one
-call over the whole text.
+once per worker. Texts with other runs of spaces or an added token of the file, such as its special
+one, are encoded in one call. Both give the ids of one call over the whole text, where an added token
+is its own id.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.typecode = "H" if self.width == 2 else "I"
@@ -92,7 +93,7 @@ class ChunkEncoder:
         if not text:
             return b""
         first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
+        if not first or first[-1].isspace() or any(token in text for token in self.added):
             return self.direct(text)
         known = self.known
         new = {chunk: self._chunk(chunk) for chunk in set(rest) if chunk not in known}

@@ -65,6 +65,19 @@ def test_encoder_equals_one_call():
         assert tokens.encode(text) == tokens.direct(text)
 
 
+SPECIAL = ["<|endoftext|>", "<|endoftext|> x", "a <|endoftext|> b", "in<|endoftext|>side a word", "end.<|endoftext|>, (<|endoftext|>)!", "x\n<|endoftext|>\ny z"]
+
+
+def test_special_tokens_in_texts_are_their_own_ids(spark):
+    tokenizer, tokens = Tokenizer.from_file(PATH), encoder(PATH)
+    ids = {i: tokenizer.encode(text, add_special_tokens=False).ids for i, text in enumerate(SPECIAL)}
+    assert all(50256 in found for found in ids.values())
+    for i, text in enumerate(SPECIAL):
+        assert np.frombuffer(tokens.encode(text), tokens.dtype).tolist() == ids[i]
+    pieces = pk.pack(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string"), PATH).collect()
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(found) + 1 for i, found in ids.items()}
+
+
 def check_pieces(pieces, texts):
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True

@@ -44,6 +44,16 @@ def test_round_trip_in_id_order(spark, tmp_path, monkeypatch):
         assert (tf.read_document(first.path, os.path.getsize(name), i, dictionary) == whole.ids(i)).all()
 
 
+def test_special_tokens_in_texts_are_their_own_ids(spark, tmp_path):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "in<|endoftext|>side", "end.<|endoftext|>, (<|endoftext|>)"]
+    folder = f"file://{tmp_path}/special"
+    files = tf.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, folder)
+    tokenizer = Tokenizer.from_file(PATH)
+    for r in tf.read_token_files(files, folder).collect():
+        ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def small_file(dictionary=b""):
     out = io.BytesIO()
     writer = tf.TokenFileWriter(out, 2, dictionary)
