@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from claimgauge.llm import decontaminate, language_id, quality_rules, simhash_dedup
 from test_packing import check_pieces
-from test_simhash_dedup import plain_components, plain_fingerprint
+from test_simhash_dedup import plain_components, plain_fingerprint, plain_groups
 from test_decontaminate import plain
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -35,6 +35,18 @@ def test_rows_of_every_stage(spark):
     assert check_pieces(pieces, kept["decontamination"]) == 0
 
 
+def test_near_copies_by_similarity_and_the_stages_after(spark):
+    docs, kept = spark.read.parquet(f"{SF_DIR}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.store(stage(spark, docs, SF_DIR), "test-stage")
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    label, _ = plain_groups(kept["language_id"])
+    assert kept["near_duplicates"] == {i: t for i, t in kept["language_id"].items() if label[i] == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    assert set(kept["decontamination"]) == {i for i, _, _, _, bad in plain(sorted(kept["near_duplicates"].items()), items) if not bad}
+    assert check_pieces(corpus_pipeline.run(spark, SF_DIR).collect(), kept["decontamination"]) == 0
+
+
 def test_stages_are_the_operators():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_duplicates", "decontamination", "packing"]
     assert {f.__module__ for _, f in corpus_pipeline.STAGES} >= {m.__name__ for m in (quality_rules, language_id, simhash_dedup, decontaminate)}
