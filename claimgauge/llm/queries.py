@@ -4,9 +4,11 @@ import functools
 
 from claimgauge.llm.chat_format import op2_chat_format
 from claimgauge.llm.common import ship_package
+from claimgauge.llm.context_tree import op11_context_tree
 from claimgauge.llm.decontaminate import OP10_SQL, op10_decontaminate
 from claimgauge.llm.html_extract import op1_html_extract
 from claimgauge.llm.language_id import op8_language_id
+from claimgauge.llm.merkle import op13_merkle_manifest
 from claimgauge.llm.packing import op4_packing
 from claimgauge.llm.quality_rules import OP9_SQL, op9_quality_rules
 from claimgauge.llm.simhash_dedup import op3_simhash_dedup
@@ -25,6 +27,8 @@ _OPERATORS = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op11_context_tree": op11_context_tree,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
