@@ -10,6 +10,7 @@ from claimgauge.llm.html_extract import op1_html_extract
 from claimgauge.llm.language_id import op8_language_id
 from claimgauge.llm.merkle import op13_merkle_manifest
 from claimgauge.llm.packing import op4_packing
+from claimgauge.llm.prefix_trie import op12_prefix_trie
 from claimgauge.llm.quality_rules import OP9_SQL, op9_quality_rules
 from claimgauge.llm.simhash_dedup import op3_simhash_dedup
 from claimgauge.llm.token_files import op5_token_files
@@ -28,6 +29,7 @@ _OPERATORS = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
     "op11_context_tree": op11_context_tree,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
