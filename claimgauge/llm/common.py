@@ -18,10 +18,10 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: a later step never repeats what lies before."""
     path = scratch_path(df.sparkSession, f"llm-{label}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

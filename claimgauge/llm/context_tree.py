@@ -36,7 +36,7 @@ from claimgauge.llm.common import store
 #: Bytes of the longest context.
 DEPTH = 4
 #: A block of documents is closed when it has reached so many bytes of text.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 40 << 20
 #: Bytes that are turned into grams at once.
 PIECE_BYTES = 1 << 21
 #: No byte of UTF-8; it ends a text and stands before its first byte.
@@ -57,6 +57,9 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     source = docs.select(
         F.col("doc_id").cast("long"), held_out.alias("held_out"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
     )
+    # The more text a block holds, the less its lists repeat those of others: small splits are read together.
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    source = source.coalesce(max(-(-n_bytes // block_bytes), docs.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, filled = TaskContext.get().partitionId() << 32, 0
@@ -71,7 +74,7 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(of_row, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "text", "block"])
 
-    return store(source.mapInArrow(run, "doc_id long, held_out boolean, text binary, block long"), "text-blocks")
+    return store(source.mapInArrow(run, "doc_id long, held_out boolean, text binary, block long"), "text-blocks", "zstd")
 
 
 def segments(text: bytes, depth: int = DEPTH) -> Iterator[bytes]:
@@ -167,7 +170,7 @@ def block_counts(blocks: DataFrame) -> DataFrame:
         if current is not None:
             yield from listed(current, learnt, other, words, unknown)
 
-    return store(blocks.mapInArrow(run, _COUNTS), "block-counts")
+    return store(blocks.mapInArrow(run, _COUNTS), "block-counts", "zstd")
 
 
 def _log_gamma(x: Column) -> Column:
@@ -269,7 +272,7 @@ def _scored(depth: int, n_all: int, n_distinct: int, n_texts: int):
         cost = {w: math.log10((c + ADDED) / floor) for w, c in zip(known.column("word").to_pylist(), known.column("n").to_pylist())}
         unseen = {w for w, c in zip(known.column("word").to_pylist(), known.column("n").to_pylist()) if c == 0}
         end_cost = math.log10((n_texts + ADDED) / floor)
-        texts = docs.column("text").to_pylist()
+        texts = docs.column("text")
         score = np.zeros(len(texts))
         waiting, owners, filled = [], [], 0
 
@@ -278,8 +281,10 @@ def _scored(depth: int, n_all: int, n_distinct: int, n_texts: int):
             starts = np.concatenate([[0], np.cumsum([len(p) - depth for p in waiting])[:-1]]).astype(np.int64)
             np.add.at(score, owners, np.add.reduceat(values, starts))
 
-        n_tokens, n_known, base = [], [], []
+        n_tokens, n_known, base, n_bytes = [], [], [], []
         for i, text in enumerate(texts):
+            text = text.as_py()
+            n_bytes.append(len(text))
             for piece in segments(text, depth):
                 waiting.append(piece)
                 owners.append(i)
@@ -298,7 +303,7 @@ def _scored(depth: int, n_all: int, n_distinct: int, n_texts: int):
                 "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
                 "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
                 "base_score": pa.array(base, pa.float64()), "score": pa.array(score),
-                "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+                "n_bytes": pa.array(n_bytes, pa.int64()),
             }
         )
 
