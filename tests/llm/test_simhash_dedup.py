@@ -109,43 +109,6 @@ def test_rows_with_one_id_and_several_texts(spark, monkeypatch, broadcast):
     assert kept in (["m", "n", "p", "x", "z"], ["m", "n", "q", "x", "z"])
 
 
-def plain_groups(texts):
-    """id -> smallest id reachable over pairs with a 5-shingle similarity of 0.8 or more."""
-    sets = {}
-    for i, text in texts.items():
-        words = text.lower().split()
-        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    label = {i: i for i in texts}
-    for _ in texts:
-        for a, b in near:
-            label[a] = label[b] = min(label[a], label[b])
-    return label, near
-
-
-def test_stage_drops_edited_copies_as_brute_force_does(spark):
-    rng = random.Random(12)
-    texts = {}
-    for family in range(40):
-        n = rng.choice([60, 200, 1000])
-        words = ["w%d" % rng.randrange(10**5) for _ in range(n)]
-        texts[len(texts)] = " ".join(words)
-        for share in (0, 0.005, 0.01, 0.02, 0.025, 0.05):
-            edited = list(words)
-            for at in rng.sample(range(n), max(1, int(share * n))):
-                edited[at] = "changed%d" % rng.randrange(10**5)
-            texts[len(texts)] = " ".join(edited)
-    # A chain: neighbours are similar, its ends are not.
-    words = ["c%d" % i for i in range(300)]
-    for step in range(8):
-        texts[len(texts)] = " ".join(words[step * 15 : step * 15 + 160])
-    label, near = plain_groups(texts)
-    assert any((sd.fingerprint(texts[a].encode()) ^ sd.fingerprint(texts[b].encode())).bit_count() > 2 for a, b in near)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    kept = {r.doc_id for r in sd.dedup_stage(spark, docs, "").collect()}
-    assert kept == set(label.values())
-
-
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.dedup_fingerprints(docs).count() == 0
