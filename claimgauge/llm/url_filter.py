@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from claimgauge.llm.common import LOWER, UPPER, store
 
 #: Blocks of four 64-bit words: 2 MB, under one percent false positives up to some 1.5 million listed URLs.
-BLOCKS = 1 << 16
+BLOCKS, MOST_BLOCKS = 1 << 16, 1 << 20
+#: Listed addresses that a block should hold.
+BLOCK_KEYS = 16
 WORDS = 4
 #: Copies of the list for the exact join; the pages of one URL are spread over so many tasks.
 SALTS = 8
@@ -110,9 +112,15 @@ def possible_hits(urls: DataFrame, listed: DataFrame, blocks: int = BLOCKS) -> D
     return probed.withColumn("possible", F.coalesce(every & F.col("key").isNotNull(), F.lit(False))).select(*urls.columns, "possible")
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[UrlRule, ...] = RULES, blocks: int = BLOCKS) -> DataFrame:
+def filter_blocks(n_listed: int) -> int:
+    """Blocks for so many keys: enough for ``BLOCK_KEYS`` in each, within ``BLOCKS`` and ``MOST_BLOCKS``."""
+    return min(MOST_BLOCKS, max(BLOCKS, 1 << (n_listed // BLOCK_KEYS).bit_length()))
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[UrlRule, ...] = RULES, blocks: int | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, listed`` of every page; ``listed`` has canonical URLs as ``key``."""
     listed = store(listed.where("key IS NOT NULL").select("key").distinct(), "listed-urls")
+    blocks = blocks or filter_blocks(listed.count())
     parts = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     ruled = parts.select(
         "page_id", "host", "path", canonical(F.col("url")).alias("key"),
@@ -136,7 +144,7 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     of_doc = F.regexp_extract(url_path(F.col("url")), r"^/[a-z]+/([0-9]+)", 1)
     listed = (
         pages.where(of_doc != "")
-        .select(canonical(F.col("url")).alias("key"), of_doc.cast("long").alias("doc_id"))
+        .select(canonical(F.col("url")).alias("key"), of_doc.try_cast("long").alias("doc_id"))
         .join(labels, "doc_id", "left_semi")
         .select("key")
     )

@@ -51,3 +51,16 @@ def test_empty_tables(spark):
     assert uf.filter_urls(pages, listed).count() == 0
     one = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     assert uf.filter_urls(one, listed).first().verdict == "allow"
+
+
+def test_number_of_blocks_follows_the_list():
+    assert uf.filter_blocks(0) == uf.BLOCKS and uf.filter_blocks(10**12) == uf.MOST_BLOCKS
+    assert uf.BLOCKS < uf.filter_blocks(4_000_000) < uf.MOST_BLOCKS
+
+
+def test_query_with_a_number_beyond_long(spark, tmp_path):
+    urls = ["http://a.com/en/99999999999999999999", "http://a.net/en/7", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(7, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r.verdict for r in uf.op6_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {0: "allow", 1: "block", 2: "allow"}
