@@ -65,6 +65,24 @@ def test_every_rule_rejects_its_kind_in_any_order(spark):
         assert got["symbols"][1] == "symbols" and got["base"][1] == "base"
 
 
+def test_repeated_lines_between_blank_ones(spark):
+    double = "\n\n".join([prose(100), *["Share this"] * 40])
+    third = "\n".join([prose(20, i) for i in range(7)] + [prose(3)] * 4)
+    docs = spark.createDataFrame([(1, double), (2, third), (3, third + "\n" + prose(3))], "doc_id long, text string")
+    order = [r for r in qr.RULES if r.name == "repeated_lines"]
+    got = {r.doc_id: (r.failed_rule, r.n_dup_lines) for r in qr.quality_cascade(docs, order, ["doc_id"]).collect()}
+    assert got == {1: ("repeated_lines", 39), 2: (None, 3), 3: ("repeated_lines", 4)}
+
+
+def test_dearer_rules_of_equal_selectivity_come_later(spark):
+    docs = spark.createDataFrame([(i, prose(80, i)) for i in range(200)], "doc_id long, text string")
+    cheap = qr.Rule("z_cheap", lambda: qr._count_of(F.col("text"), "[^a]+") < 20)
+    copies = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: qr._count_of(F.concat("text", i.cast("string")), "[^a]+"))
+    dear = qr.Rule("a_dear", lambda: F.array_max(copies) < 20)
+    for _ in range(3):
+        assert [r.name for r in qr.measured_order(docs, (dear, cheap))] == ["z_cheap", "a_dear"]
+
+
 def test_order_puts_rejecting_rules_first(spark):
     rows = [(i, t) for i, t in enumerate([examples()["symbols"]] * 30 + [prose(80, i) for i in range(10)])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
