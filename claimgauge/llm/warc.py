@@ -174,9 +174,11 @@ def with_references(pages: DataFrame) -> DataFrame:
         .drop("n"),
         "repeated-payloads",
     )
-    joined = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest")).join(firsts, "digest", "left")
-    refers = F.when((F.col("page_id") > F.col("first_id")), F.col("first_id"))
-    return joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    # Only ids meet the digests, of which one may belong to any share of the pages; payloads are joined by page.
+    later = narrow.join(firsts, "digest").where("page_id > first_id").select("page_id", "digest", F.col("first_id").alias("refers_to"))
+    later = store(later.distinct(), "revisits")
+    whole = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"))
+    return whole.join(later, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
@@ -257,7 +259,8 @@ def read_warc(files: DataFrame) -> DataFrame:
                 if n != expected:
                     raise ValueError(f"{path} holds {n} records instead of {expected}")
 
-    return files.select("path", "n_records").repartition("path").mapInArrow(run, schema)
+    # A number that is given is not merged: as many tasks as files.
+    return files.select("path", "n_records").repartition(max(1, files.count()), "path").mapInArrow(run, schema)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
