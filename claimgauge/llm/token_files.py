@@ -187,7 +187,8 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                 columns = [pa.array(c, pa.int64()) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = placed.repartition("path")
+    # A number that is given is not merged: as many tasks as files.
+    spread = placed.repartition(max(1, files.count()), "path")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Most chunks and words that a worker remembers, some 200 bytes each. The first ones stay: they are the frequent ones.
-CACHE_CHUNKS, CACHE_WORDS = 300_000, 150_000
+CACHE_CHUNKS, CACHE_WORDS = 300_000, 600_000
 #: Punctuation that never joins a letter before it into one part; an apostrophe may.
 _PUNCTUATION = ".,;:!?*%&$#|<>()"
 _LETTERS = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]]

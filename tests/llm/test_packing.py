@@ -80,7 +80,6 @@ def test_special_tokens_in_texts_are_their_own_ids(spark):
 
 def check_pieces(pieces, texts):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)

@@ -26,7 +26,6 @@ def test_round_trip_in_id_order(spark, tmp_path, monkeypatch):
     files = tf.write_token_files(docs, PATH, folder)
     got = sorted(tf.read_token_files(files, folder).collect(), key=lambda r: r.start)
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     arrays = {}
     for doc_id, text in texts:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
