@@ -282,8 +282,32 @@ check(
     "append_claims",
     "lifted",
     """
-SELECT claim_type, authorization_required, count(*) AS n_claims
-FROM (SELECT * FROM claims UNION ALL SELECT * FROM lifted) GROUP BY ALL""",
+SELECT claim_id, provider_id, procedure_code, service_date, allowed_amount, authorization_required
+FROM (SELECT * FROM claims UNION ALL SELECT * FROM lifted)""",
+)
+PREFIXES = "['CPT-7', 'CPT-70102', 'HCPCS-E', 'CPT-99', 'CPT', 'RX-0100', 'CPT-80101', 'NONE']"
+step(
+    "many_events",
+    "",
+    f"""
+SELECT p_partkey AS position, 'EV-' || p_partkey AS policy_id, 'Derived event' AS description,
+    DATE '1995-01-01' + CAST(p_partkey * 37 % 2500 AS INT) AS effective,
+    CASE WHEN p_partkey % 3 = 0 THEN [{PREFIXES}[p_partkey % 8 + 1], {PREFIXES}[p_partkey // 7 % 8 + 1]]
+         ELSE [{PREFIXES}[p_partkey % 8 + 1]] END AS prefixes,
+    CASE WHEN p_partkey % 4 = 0 THEN 'added' ELSE 'removed' END AS change_type
+FROM part""",
+)
+check(
+    "apply_events_from_table",
+    "claims many_events",
+    """
+SELECT claim_id, claims.procedure_code, service_date,
+    CASE WHEN authorization_required = 'Y' AND service_date >= lifted_from THEN 'N' ELSE authorization_required END AS authorization_required
+FROM claims LEFT JOIN (
+    SELECT procedure_code, min(effective) AS lifted_from FROM (SELECT DISTINCT procedure_code FROM claims)
+    JOIN (SELECT unnest(prefixes) AS prefix, effective FROM many_events WHERE change_type = 'removed' AND effective >= DATE '1999-06-01')
+        ON starts_with(procedure_code, prefix)
+    GROUP BY procedure_code) AS first ON claims.procedure_code = first.procedure_code""",
 )
 check(
     "prefix_filter",
@@ -760,10 +784,7 @@ SELECT * FROM (VALUES
     ('POL-004', 'Nothing affected', DATE '1999-07-01', 'NONEXISTENT', '^NONEXISTENT', 'removed'))
     AS t(policy_id, description, effective, affected_services, pattern, change_type)""",
 )
-step(
-    "impact",
-    "claims events",
-    f"""
+IMPACT = f"""
 SELECT policy_id, description, CAST(effective AS VARCHAR) AS effective_date, affected_services, m.* EXCLUDE (id),
     round(CASE WHEN pre_volume > 0 THEN (post_volume - pre_volume) / pre_volume * 100 ELSE 0 END, 2) AS volume_change_pct,
     round(CASE WHEN pre_total_allowed > 0 THEN (post_total_allowed - pre_total_allowed) / pre_total_allowed * 100 ELSE 0 END, 2)
@@ -779,8 +800,14 @@ FROM events JOIN (
     SELECT policy_id AS id, {metrics_of("service_date < effective", "pre_")}, {metrics_of("service_date >= effective", "post_")}
     FROM events LEFT JOIN claims ON regexp_matches(procedure_code, pattern)
         AND service_date >= effective - 84 AND service_date < effective + 84
-    GROUP BY policy_id) m ON policy_id = id""",
+    GROUP BY policy_id) m ON policy_id = id"""
+step("impact", "claims events", IMPACT)
+step(
+    "listed_events",
+    "many_events",
+    "SELECT *, array_to_string(prefixes, '|') AS affected_services, '^(' || array_to_string(prefixes, '|') || ')' AS pattern FROM many_events",
 )
+check("policy_impact_from_table", "claims listed_events", IMPACT.replace("FROM events", "FROM listed_events"))
 check("policy_impact", "impact", "SELECT * FROM impact")
 check(
     "report_policy_impact",
@@ -973,3 +1000,7 @@ for name, same in (("provider", "provider_features"), ("temporal", "temporal_fea
     ORACLE[f"write_features_{name}"] = ORACLE[same]
 for name in ("denial_categories", "top_appeal_providers", "benchmark_compare", "policy_impact", "all_flags"):
     ORACLE[f"write_reports_{name}"] = ORACLE[name]
+ORACLE["route_arriving_claims"] = ORACLE["route_valid_rows"]
+ORACLE["write_policy_files"] = ORACLE["render_policy_docs"]
+for name, same in (("provider", "provider_features"), ("temporal", "temporal_features"), ("service_category", "service_category_features")):
+    ORACLE[f"appended_{name}_features"] = ORACLE[same]

@@ -18,6 +18,7 @@ from claimgauge.operators import (
     appeals,
     benchmarks,
     detection,
+    feature_state,
     features,
     kpis,
     matching,
@@ -33,7 +34,8 @@ from claimgauge.operators import (
 from claimgauge.operators.joins import join_groups
 from claimgauge.operators.stages import materialize, scratch_path
 from claimgauge.plans.policy_insights import kpis_from_claims, rules_from_claims
-from claimgauge.sources import claims as claim_tables, external_csv, policies, reports
+from claimgauge.sources import claims as claim_tables, external_csv, policies, policy_files, reports
+from claimgauge.streaming import routing
 from catalog.order_claims import order_claims
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +49,8 @@ EVENTS = [
     PolicyChangeEvent("POL-004", ("NONEXISTENT",), "removed", dt.date(1999, 7, 1), "Nothing affected"),
 ]
 WEEKS = 12
+#: Code prefixes that events derived from the part table take in turn.
+EVENT_PREFIXES = ("CPT-7", "CPT-70102", "HCPCS-E", "CPT-99", "CPT", "RX-0100", "CPT-80101", "NONE")
 RULE_LISTS = ("covered_cpt_codes", "diagnosis_constraints", "documentation_requirements")
 
 
@@ -199,6 +203,13 @@ def parse_policy_files(spark, sf_dir):
     return rules.withColumns({name: as_text(name) for name in RULE_LISTS})
 
 
+@query
+def write_policy_files(spark, sf_dir):
+    folder = scratch_path(spark, "policy-files")
+    policy_files.write_policy_files(cluster_seeds(spark, sf_dir), folder)
+    return policy_files.read_written_files(spark, folder)
+
+
 @query
 def load_policy_rules(spark, sf_dir):
     rules = rules_from_claims(stored_claims(spark, sf_dir))
@@ -315,6 +326,22 @@ def route_valid_rows(spark, sf_dir):
     return routed.select("claim_id", as_text("failed_rules").alias("failed_rules"))
 
 
+@query
+def route_arriving_claims(spark, sf_dir):
+    """Claims that arrive in two lots of files; the routing is started three times from its checkpoint."""
+    claims = with_faults(order_claims(spark, sf_dir))
+    folder = scratch_path(spark, "arriving")
+    early = F.col("service_date") < F.lit(dt.date(1998, 1, 1))
+    for lot in (claims.where(early), claims.where(~early)):
+        lot.repartition(4).write.mode("append").parquet(f"{folder}/claims")
+        routing.route_arrived(spark, f"{folder}/claims", f"{folder}/routed", claims.schema, files_per_batch=3)
+    routing.route_arrived(spark, f"{folder}/claims", f"{folder}/routed", claims.schema)
+    routed = routing.load_routed(spark, f"{folder}/routed")
+    return routed["valid"].select("claim_id", F.lit("").alias("failed_rules")).union(
+        routed["rejected"].select("claim_id", as_text("failed_rules"))
+    )
+
+
 # Aggregations
 
 
@@ -467,6 +494,34 @@ def policy_impact(spark, sf_dir):
     return impact.withColumn("affected_services", as_text("affected_services"))
 
 
+def events_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One policy event per part: one or two code prefixes and a date, by its key."""
+    key = F.col("p_partkey")
+    first = F.element_at(F.array(*map(F.lit, EVENT_PREFIXES)), (key % len(EVENT_PREFIXES) + 1).cast("int"))
+    second = F.element_at(F.array(*map(F.lit, EVENT_PREFIXES)), (F.floor(key / 7) % len(EVENT_PREFIXES) + 1).cast("int"))
+    return claim_tables.load_table(spark, f"{sf_dir}/part.parquet").select(
+        key.cast("long").alias("position"),
+        F.concat(F.lit("EV-"), key.cast("string")).alias("policy_id"),
+        F.lit("Derived event").alias("description"),
+        F.date_add(F.lit(dt.date(1995, 1, 1)), (key * 37 % 2500).cast("int")).alias("effective_date"),
+        F.when(key % 3 == 0, F.array(first, second)).otherwise(F.array(first)).alias("affected_services"),
+        F.when(key % 4 == 0, "added").otherwise("removed").alias("change_type"),
+    )
+
+
+@query
+def policy_impact_from_table(spark, sf_dir):
+    impact = policy_events.policy_impact(stored_claims(spark, sf_dir, IMPACT_COLUMNS), events_from_parts(spark, sf_dir))
+    return impact.withColumn("affected_services", as_text("affected_services"))
+
+
+@query
+def apply_events_from_table(spark, sf_dir):
+    events = events_from_parts(spark, sf_dir).where(F.col("effective_date") >= F.lit(dt.date(1999, 6, 1)))
+    applied = policy_events.apply_policy_event(order_claims(spark, sf_dir), events)
+    return applied.select("claim_id", "procedure_code", "service_date", "authorization_required")
+
+
 @query
 def provider_peer_stats(spark, sf_dir):
     table = features.provider_features(order_claims(spark, sf_dir))
@@ -514,7 +569,26 @@ def rank_policies(spark, sf_dir):
 def append_claims(spark, sf_dir):
     claims = order_claims(spark, sf_dir)
     both = reconcile.append_claims(claims, policy_events.apply_policy_event(claims, EVENTS))
-    return both.groupBy("claim_type", "authorization_required").agg(F.count("*").alias("n_claims"))
+    return both.select("claim_id", "provider_id", "procedure_code", "service_date", "allowed_amount", "authorization_required")
+
+
+def _features_after_appending(name: str) -> Query:
+    """Features from a stored state that took the older claims first and the newer ones as a second batch."""
+
+    def run(spark, sf_dir):
+        claims = order_claims(spark, sf_dir)
+        older = F.col("service_date") < F.lit(dt.date(1999, 1, 1))
+        root = scratch_path(spark, "feature-state")
+        for batch_name, batch in (("older", claims.where(older)), ("newer", claims.where(~older))):
+            feature_state.append_to_state(spark, root, batch, batch_name)
+        return feature_state.features_from_state(feature_state.load_state(spark, root))[name]
+
+    run.__name__ = f"appended_{name}_features"
+    return run
+
+
+for appended in ("provider", "temporal", "service_category"):
+    query(_features_after_appending(appended))
 
 
 @query

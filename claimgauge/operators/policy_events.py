@@ -1,15 +1,16 @@
 """Policy change events: applying them and measuring utilization before and after.
 
-Events are configuration, so their conditions become literals of one scan: date ranges and code
-prefixes reach the parquet reader and claims are never joined with events.
+Events are a table of any size: ``position`` (unique), ``policy_id, description, effective_date, affected_services``
+(code prefixes) and ``change_type``. Claims meet them through an index of prefixes and weeks, so that the plan is the same
+for four events and for thousands, without an expression per event. A list of ``PolicyChangeEvent`` becomes such a table.
+Null prefixes, events without a date and claims without a code or date meet nothing.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimgauge.config import DetectionConfig, PolicyChangeEvent
 from claimgauge.functions import money
@@ -17,9 +18,16 @@ from claimgauge.functions.codes import has_any_prefix
 from claimgauge.functions.ratios import count_where, rate, ratio
 from claimgauge.functions.text import percent
 
+Events = DataFrame | list[PolicyChangeEvent]
+
+EVENT_COLUMNS = (
+    "position BIGINT, policy_id STRING, description STRING, effective_date DATE, affected_services ARRAY<STRING>, "
+    "change_type STRING"
+)
+#: A Monday; weeks are counted from here.
+FIRST_DAY = dt.date(1970, 1, 5)
 PERIODS = ("pre", "post")
 METRICS = ("volume", "total_allowed", "avg_allowed", "denial_rate", "oon_rate")
-NO_METRICS = "struct<volume:bigint,total_allowed:double,avg_allowed:double,denial_rate:double,oon_rate:double>"
 
 
 def prefix_filter(claims: DataFrame, prefixes) -> DataFrame:
@@ -48,18 +56,54 @@ def window_filter(claims: DataFrame, effective: dt.date, weeks: int) -> DataFram
     )
 
 
-def apply_policy_event(claims: DataFrame, events: list[PolicyChangeEvent]) -> DataFrame:
-    """Lift the authorization requirement where a 'removed' event covers the claim."""
-    lifted = [
-        has_any_prefix(F.col("procedure_code"), event.affected_procedure_prefixes)
-        & (F.col("service_date") >= F.lit(event.effective_date))
-        for event in events
-        if event.change_type == "removed"
+def event_table(spark: SparkSession, events: Events) -> DataFrame:
+    """The events as a table; a list keeps its order as ``position``."""
+    if isinstance(events, DataFrame):
+        return events
+    rows = [
+        (i, e.policy_id, e.description, e.effective_date, list(e.affected_procedure_prefixes), e.change_type)
+        for i, e in enumerate(events)
     ]
-    covered = reduce(lambda a, b: a | b, lifted, F.lit(False))
+    return spark.createDataFrame(rows, EVENT_COLUMNS)
+
+
+def _by_prefix(events: DataFrame) -> DataFrame:
+    """One row per event and prefix. Prefixes that begin with another one of the same event add nothing and go, so
+    that a code has at most one prefix in an event."""
+    given = F.array_distinct(F.filter("affected_services", lambda p: p.isNotNull()))
+    shortest = F.filter(given, lambda p: ~F.exists(given, lambda q: (q != p) & p.startswith(q)))
+    return events.where("effective_date IS NOT NULL").select(
+        "position", "change_type", "effective_date", F.explode(shortest).alias("prefix")
+    )
+
+
+def _prefixes_of(code: Column, indexed: DataFrame) -> Column:
+    """The code's beginnings of all lengths that prefixes of the index have; there are as many as the longest prefix allows."""
+    lengths = sorted(row[0] for row in indexed.select(F.char_length("prefix")).distinct().collect())
+    beginnings = [F.when(F.char_length(code) >= n, F.substring(code, 1, n)) for n in lengths]
+    return F.array_compact(F.array(*beginnings)) if beginnings else F.array().cast("array<string>")
+
+
+def apply_policy_event(claims: DataFrame, events: Events) -> DataFrame:
+    """Lift the authorization requirement where a 'removed' event covers the claim.
+
+    Of all events with a prefix only the earliest date counts, and of all prefixes of a code too: the index is one date
+    per distinct code, however many events there are.
+    """
+    removed = _by_prefix(event_table(claims.sparkSession, events)).where(F.col("change_type") == "removed")
+    earliest = removed.groupBy("prefix").agg(F.min("effective_date").alias("from_date"))
+    codes = claims.select(F.col("procedure_code").alias("code")).where("code IS NOT NULL").distinct()
+    lifted = (
+        codes.withColumn("prefix", F.explode(_prefixes_of(F.col("code"), removed)))
+        .join(earliest, "prefix")
+        .groupBy("code")
+        .agg(F.min("from_date").alias("lifted_from"))
+    )
+    joined = claims.join(lifted, F.col("procedure_code") == F.col("code"), "left")
     required = F.col("authorization_required")
-    return claims.withColumn(
-        "authorization_required", F.when(covered & (required == "Y"), "N").otherwise(required)
+    covered = (F.col("service_date") >= F.col("lifted_from")) & (required == "Y")
+    return joined.withColumn("authorization_required", F.when(covered, "N").otherwise(required)).select(
+        *[f"`{name}`" for name in claims.columns]
     )
 
 
@@ -92,54 +136,63 @@ def period_metrics(claims: DataFrame) -> DataFrame:
     )
 
 
-def _event_table(claims: DataFrame, events: list[PolicyChangeEvent]) -> DataFrame:
-    rows = [
-        (
-            position,
-            event.policy_id,
-            event.description,
-            event.effective_date.isoformat(),
-            list(event.affected_procedure_prefixes),
-            event.change_type,
-        )
-        for position, event in enumerate(events)
-    ]
-    schema = (
-        "position INT, policy_id STRING, description STRING, effective_date STRING, "
-        "affected_services ARRAY<STRING>, change_type STRING"
+def _merged() -> list[Column]:
+    """The measures of several rows together."""
+    counts = ("volume", "n_allowed", "denials", "n_denial_flag", "oon", "n_network_status")
+    return [*[F.sum(name).alias(name) for name in counts], *money.merge_parts("allowed")]
+
+
+def _week(day: Column) -> Column:
+    return F.floor(F.date_diff(day, F.lit(FIRST_DAY)) / 7)
+
+
+def _windows_by_week(by_prefix: DataFrame, weeks: int) -> DataFrame:
+    """Every event's prefixes in every week that its windows touch."""
+    start, end = F.date_sub("effective_date", 7 * weeks), F.date_add("effective_date", 7 * weeks)
+    touched = F.sequence(_week(start), _week(F.date_sub(end, 1)))
+    windows = by_prefix.where(F.lit(weeks > 0)).withColumns({"start_date": start, "end_date": end})
+    return windows.withColumn("week", F.explode(touched))
+
+
+def events_metrics(claims: DataFrame, events: DataFrame, weeks: int) -> DataFrame:
+    """``position, period`` and the measures of the claims that each event covers in its windows.
+
+    Claims are summed per code and day, then per prefix of the index and day; only these sums meet the events, by
+    prefix and week, and exact dates decide after that. A claim that two prefixes of an event cover counts once.
+    """
+    by_prefix = _by_prefix(events)
+    first, last = by_prefix.agg(F.min("effective_date"), F.max("effective_date")).first()
+    reach = F.lit(False)
+    if first:
+        reach = (F.col("service_date") >= F.date_sub(F.lit(first), 7 * weeks)) & (F.col("service_date") < F.date_add(F.lit(last), 7 * weeks))
+    in_reach = claims.where(reach & F.col("procedure_code").isNotNull())
+    daily = in_reach.groupBy("procedure_code", "service_date").agg(*_measures())
+    spread = daily.withColumn("prefix", F.explode(_prefixes_of(F.col("procedure_code"), by_prefix)))
+    wanted = by_prefix.select("prefix").distinct()
+    by_day = spread.join(wanted, "prefix", "left_semi").groupBy("prefix", "service_date").agg(*_merged())
+    met = (
+        by_day.withColumn("week", _week(F.col("service_date")))
+        .join(_windows_by_week(by_prefix, weeks), ["prefix", "week"])
+        .where((F.col("service_date") >= F.col("start_date")) & (F.col("service_date") < F.col("end_date")))
     )
-    return claims.sparkSession.createDataFrame(rows, schema)
+    period = F.when(F.col("service_date") < F.col("effective_date"), PERIODS[0]).otherwise(PERIODS[1])
+    return met.groupBy("position", period.alias("period")).agg(*_merged())
 
 
-def policy_impact(
-    claims: DataFrame, events: list[PolicyChangeEvent], config: DetectionConfig = DetectionConfig()
-) -> DataFrame:
+def policy_impact(claims: DataFrame, events: Events, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """One row per event, in the given order, with the metrics before and after and their change.
 
     A claim that two prefixes of one event cover counts once; events without claims get zeros.
     """
-    table = _event_table(claims, events)
-    conditions, periods = [], []
-    for position, event in enumerate(events):
-        windows = _windows(event.effective_date, config.rebound_window_weeks)
-        covered = has_any_prefix(F.col("procedure_code"), event.affected_procedure_prefixes)
-        conditions.append(covered & (windows["pre"] | windows["post"]))
-        period = F.when(covered & windows["pre"], "pre").when(covered & windows["post"], "post")
-        periods.append(F.struct(F.lit(position).alias("position"), period.alias("period")))
-    if events:
-        measured = (
-            claims.where(reduce(lambda a, b: a | b, conditions))
-            .withColumn("hit", F.explode(F.filter(F.array(*periods), lambda hit: hit["period"].isNotNull())))
-            .groupBy("hit.position", "hit.period")
-            .agg(*_measures())
-            .select("position", "period", F.struct(*[v.alias(m) for m, v in _metric_columns().items()]).alias("m"))
-            .groupBy("position")
-            .pivot("period", list(PERIODS))
-            .agg(F.first("m"))
-        )
-    else:
-        no_metrics = F.lit(None).cast(NO_METRICS)
-        measured = table.select("position", *[no_metrics.alias(period) for period in PERIODS])
+    table = event_table(claims.sparkSession, events)
+    measured = (
+        events_metrics(claims, table, config.rebound_window_weeks)
+        .select("position", "period", F.struct(*[v.alias(m) for m, v in _metric_columns().items()]).alias("m"))
+        .groupBy("position")
+        .pivot("period", list(PERIODS))
+        .agg(F.first("m"))
+    )
+    table = table.withColumn("effective_date", F.col("effective_date").cast("string"))
 
     def metric(period: str, name: str) -> Column:
         zero = F.lit(0).cast("long") if name == "volume" else F.lit(0.0)

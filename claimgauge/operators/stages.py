@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Paths handed out per application and not removed yet.
 _HANDED_OUT: dict[str, list[str]] = {}
+#: Folders of local sessions without a setting, per application.
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,9 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="claimgauge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_FOLDERS:
+        _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="claimgauge-")
+    return _OWN_FOLDERS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -67,3 +70,16 @@ def owned_stages(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         release_stages(spark, first)
+
+
+@contextmanager
+def all_but_last_stage(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that are made inside, but for the last one, which is the result."""
+    application = spark.sparkContext.applicationId
+    first = len(_HANDED_OUT.get(application, []))
+    yield
+    made = _HANDED_OUT.get(application, [])
+    last = made.pop() if len(made) > first else None
+    release_stages(spark, first)
+    if last:
+        made.append(last)

@@ -1,7 +1,8 @@
 """Operators that accept a streaming DataFrame unchanged.
 
 All analyses are batch jobs. These three steps look at one row at a time, so the same code
-tags, adapts and routes claims of a stream; nothing here holds state.
+tags, adapts and routes claims of a stream; nothing here holds state. ``streaming/routing.py`` runs
+the routing over arriving files.
 """
 
 from claimgauge.operators.features import tag_service_category

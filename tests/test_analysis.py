@@ -1,8 +1,10 @@
 """Policy events, appeals, benchmarks, reconciliation and report tables."""
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import by_key
 from claimgauge.config import BenchmarkBaseline, DetectionConfig, PolicyChangeEvent
@@ -40,6 +42,59 @@ def test_events_keep_their_order_and_count_claims_once(around_july):
     assert policy_events.policy_impact(around_july, []).count() == 0
 
 
+def test_many_events_equal_brute_force(spark, make_claims):
+    rng = random.Random(8)
+    codes = ["CPT-70100", "CPT-70", "CPT-99201", "HCPCS-E0101", "RX-1", ""]
+    day = lambda: dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(400))
+    claims = [
+        {"procedure_code": rng.choice(codes), "service_date": day(), "allowed_amount": rng.randrange(10_000) / 100,
+         "denial_flag": rng.choice("YN"), "authorization_required": rng.choice("YN"), "claim_id": f"c{i}"}
+        for i in range(400)
+    ]
+    prefixes = ["CPT-7", "CPT-70", "CPT", "HCPCS-E", "NONE", "", "RX-1", None]
+    events = [
+        (i, f"P{i}", "", day() if i % 17 else None, rng.sample(prefixes, rng.randrange(4)), rng.choice(["removed", "added"]))
+        for i in range(300)
+    ]
+    table = spark.createDataFrame(events, policy_events.EVENT_COLUMNS).repartition(3)
+    frame = make_claims(*claims)
+
+    def covers(event, claim):
+        return any(p is not None and claim["procedure_code"].startswith(p) for p in event[4])
+
+    got = policy_events.policy_impact(frame, table).collect()
+    assert [r["policy_id"] for r in got] == [e[1] for e in events]
+    for row, event in zip(got, events):
+        hit = [c for c in claims if event[3] and covers(event, c) and abs((c["service_date"] - event[3]).days + 0.5) < 84]
+        for period, own in (("pre", [c for c in hit if c["service_date"] < event[3]]), ("post", [c for c in hit if c["service_date"] >= event[3]])):
+            assert row[f"{period}_volume"] == len(own)
+            assert row[f"{period}_total_allowed"] == pytest.approx(sum(c["allowed_amount"] for c in own))
+            assert row[f"{period}_denial_rate"] == pytest.approx(sum(c["denial_flag"] == "Y" for c in own) / max(1, len(own)))
+    lifted = by_key(policy_events.apply_policy_event(frame, table), "claim_id")
+    for claim in claims:
+        covered = any(e[5] == "removed" and e[3] and covers(e, claim) and claim["service_date"] >= e[3] for e in events)
+        assert lifted[claim["claim_id"]]["authorization_required"] == ("N" if covered else claim["authorization_required"])
+
+
+def test_one_plan_for_any_number_of_events(spark, make_claims):
+    claims = make_claims({"procedure_code": "CPT-70100", "service_date": dt.date(2024, 5, 1)})
+
+    def plan(n):
+        events = spark.range(n).select(
+            F.col("id").alias("position"), F.lit("P").alias("policy_id"), F.lit("").alias("description"),
+            F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 300).cast("int")).alias("effective_date"),
+            F.array(F.lit("CPT-7")).alias("affected_services"), F.lit("removed").alias("change_type"),
+        )
+        impact = policy_events.policy_impact(claims, events)
+        return impact, len(impact._jdf.queryExecution().analyzed().toString().splitlines())
+
+    few, many = plan(4), plan(20_000)
+    assert few[1] == many[1]
+    assert many[0].where("pre_volume + post_volume > 0").count() == sum(
+        abs((dt.date(2024, 5, 1) - dt.date(2024, 1, 1)).days - i % 300 + 0.5) < 84 for i in range(20_000)
+    )
+
+
 def test_windows_are_half_open(make_claims):
     days = [JULY - dt.timedelta(84), JULY - dt.timedelta(85), JULY, JULY + dt.timedelta(83), JULY + dt.timedelta(84)]
     claims = make_claims(*[{"service_date": day} for day in days])
