@@ -13,6 +13,7 @@ from claimgauge.llm.language_id import language_stage
 from claimgauge.llm.packing import packing_stage
 from claimgauge.llm.quality_rules import quality_stage
 from claimgauge.llm.simhash_dedup import dedup_stage
+from claimgauge.operators.stages import all_but_last_stage
 
 STAGES = [
     ("quality_rules", quality_stage),
@@ -30,5 +31,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        with all_but_last_stage(spark):
+            docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
