@@ -268,9 +268,11 @@ def _scored(depth: int, n_all: int, n_distinct: int, n_texts: int):
         code, first = np.unique(code[is_gram].astype(np.int64), return_index=True)
         log_p = log_p[is_gram][first]
         known = model.filter(pa.array(~is_gram))
+        words, n = known.column("word").to_pylist(), known.column("n").to_numpy()
         # Without training tokens only zero counts exist; their ratio is then 1 over V + 1 = 1.
-        cost = {w: math.log10((c + ADDED) / floor) for w, c in zip(known.column("word").to_pylist(), known.column("n").to_pylist())}
-        unseen = {w for w, c in zip(known.column("word").to_pylist(), known.column("n").to_pylist()) if c == 0}
+        cost = dict(zip(words, np.log10((n + ADDED) / floor).tolist()))
+        unseen = {words[i] for i in np.flatnonzero(n == 0)}
+        del words, known
         end_cost = math.log10((n_texts + ADDED) / floor)
         texts = docs.column("text")
         score = np.zeros(len(texts))
@@ -328,6 +330,9 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     model = needed.select("block", "gram", F.lit(None).cast("binary").alias("word"), "log10_p", F.lit(0).cast("long").alias("n")).union(
         words.select("block", F.lit(0).cast("long"), "word", F.lit(0.0), "n")
     )
+    # A given number of partitions is not merged: a task holds few blocks, whatever the session's settings.
+    n_blocks = max(1, blocks.select("block").distinct().count())
+    blocks, model = (side.repartition(n_blocks, "block") for side in (blocks, model))
     scored = blocks.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(_scored(DEPTH, n_all, n_distinct, n_texts), _SCORES)
     bits = F.try_divide(F.col("score") / -math.log10(2), F.col("n_bytes"))
     return scored.select(
