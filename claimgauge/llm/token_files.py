@@ -38,6 +38,8 @@ DICTIONARY_BYTES = 32_768
 #: A file is closed when it has reached so many bytes.
 FILE_BYTES = 64 << 20
 LEVEL = 3
+#: Words that a worker remembers; with nothing else beside it in the worker, more than the encoder's own default.
+CACHED_WORDS = 600_000
 
 _HEAD = struct.Struct("<8sII32s")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "<u4"), ("n_ids", "<u8"), ("at", "<u8")])
@@ -116,7 +118,7 @@ def id_dictionary(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [encoder(path).encode(text or "")[:SAMPLE_BYTES] for text in batch.column(0).to_pylist()]
+            data = [encoder(path, CACHED_WORDS).encode(text or "")[:SAMPLE_BYTES] for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["data"])
 
     sample = docs.where(F.xxhash64("doc_id") <= last).select("text").limit(sample_rows)
@@ -137,7 +139,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str) -> DataFrame:
     schema = T._parse_datatype_string("part int, shard int, path string, n_docs long, n_ids long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = encoder(path, CACHED_WORDS)
         end = END_ID.to_bytes(tokens.width, "little")
         part = TaskContext.get().partitionId()
 

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Most chunks and words that a worker remembers, some 200 bytes each. The first ones stay: they are the frequent ones.
-CACHE_CHUNKS, CACHE_WORDS = 300_000, 600_000
+CACHE_CHUNKS, CACHE_WORDS = 300_000, 150_000
 #: Punctuation that never joins a letter before it into one part; an apostrophe may.
 _PUNCTUATION = ".,;:!?*%&$#|<>()"
 _LETTERS = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]]
@@ -27,7 +27,8 @@ _LATIN = re.compile(f"[{''.join(_LETTERS)}]+")
 class ChunkEncoder:
     """Encodes texts with one byte-level tokenizer; keep one per worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -65,7 +66,7 @@ class ChunkEncoder:
             ids = self._word(word, space)
             if ids is None:
                 return self.direct(blank + part)
-            if len(known) < CACHE_WORDS:
+            if len(known) < self.cache_words:
                 known[word] = ids
         if len(word) == len(part):
             return ids
@@ -73,7 +74,7 @@ class ChunkEncoder:
         ending = self.endings.get(rest)
         if ending is None:
             ending = self.direct(rest)
-            if len(self.endings) < CACHE_WORDS:
+            if len(self.endings) < self.cache_words:
                 self.endings[rest] = ending
         return ids + ending
 
@@ -110,6 +111,6 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> ChunkEncoder:
     """The worker's own encoder for a tokenizer file, loaded once."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, cache_words)
