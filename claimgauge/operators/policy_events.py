@@ -26,6 +26,8 @@ EVENT_COLUMNS = (
 )
 #: A Monday; weeks are counted from here.
 FIRST_DAY = dt.date(1970, 1, 5)
+#: Distinct prefixes up to this number are also filters of the scan.
+PUSHED_PREFIXES = 16
 PERIODS = ("pre", "post")
 METRICS = ("volume", "total_allowed", "avg_allowed", "denial_rate", "oon_rate")
 
@@ -166,9 +168,13 @@ def events_metrics(claims: DataFrame, events: DataFrame, weeks: int) -> DataFram
     if first:
         reach = (F.col("service_date") >= F.date_sub(F.lit(first), 7 * weeks)) & (F.col("service_date") < F.date_add(F.lit(last), 7 * weeks))
     in_reach = claims.where(reach & F.col("procedure_code").isNotNull())
+    wanted = by_prefix.select("prefix").distinct()
+    # A few prefixes go to the reader as well; more would only lengthen the plan.
+    few = [row.prefix for row in wanted.limit(PUSHED_PREFIXES + 1).collect()]
+    if len(few) <= PUSHED_PREFIXES:
+        in_reach = prefix_filter(in_reach, sorted(few))
     daily = in_reach.groupBy("procedure_code", "service_date").agg(*_measures())
     spread = daily.withColumn("prefix", F.explode(_prefixes_of(F.col("procedure_code"), by_prefix)))
-    wanted = by_prefix.select("prefix").distinct()
     by_day = spread.join(wanted, "prefix", "left_semi").groupBy("prefix", "service_date").agg(*_merged())
     met = (
         by_day.withColumn("week", _week(F.col("service_date")))
