@@ -81,7 +81,7 @@ def _by_prefix(events: DataFrame) -> DataFrame:
 
 def _prefixes_of(code: Column, indexed: DataFrame) -> Column:
     """The code's beginnings of all lengths that prefixes of the index have; there are as many as the longest prefix allows."""
-    lengths = sorted(row[0] for row in indexed.select(F.char_length("prefix")).distinct().collect())
+    lengths = indexed.agg(F.sort_array(F.collect_set(F.char_length("prefix")))).first()[0]
     beginnings = [F.when(F.char_length(code) >= n, F.substring(code, 1, n)) for n in lengths]
     return F.array_compact(F.array(*beginnings)) if beginnings else F.array().cast("array<string>")
 
@@ -170,7 +170,7 @@ def events_metrics(claims: DataFrame, events: DataFrame, weeks: int) -> DataFram
     in_reach = claims.where(reach & F.col("procedure_code").isNotNull())
     wanted = by_prefix.select("prefix").distinct()
     # A few prefixes go to the reader as well; more would only lengthen the plan.
-    few = [row.prefix for row in wanted.limit(PUSHED_PREFIXES + 1).collect()]
+    few = wanted.limit(PUSHED_PREFIXES + 1).agg(F.collect_set("prefix")).first()[0]
     if len(few) <= PUSHED_PREFIXES:
         in_reach = prefix_filter(in_reach, sorted(few))
     daily = in_reach.groupBy("procedure_code", "service_date").agg(*_measures())

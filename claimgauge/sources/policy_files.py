@@ -46,6 +46,9 @@ def policy_file_source():
             import uuid
 
             self.folder, self.run = folder.rstrip("/"), uuid.uuid4().hex
+            # Made once, on the driver: a task that outlives an abort finds no folder to write into.
+            store, _, place = self._hidden()
+            store.create_dir(place, recursive=True)
 
         def _hidden(self):
             store, base = open_store(self.folder)
@@ -55,7 +58,6 @@ def policy_file_source():
             import uuid
 
             store, _, place = self._hidden()
-            store.create_dir(place, recursive=True)
             files = []
             for row in iterator:
                 *keys, name, text = row
@@ -105,7 +107,7 @@ def write_policy_files(seeds: DataFrame, folder: str) -> list[str]:
     spark.dataSource.register(policy_file_source())
     docs = seeds.select(*KEYS, policy_file_name().alias("file_name"), policy_markdown().alias("md"))
     # The names do not depend on what the folder held before.
-    names = sorted(row.file_name for row in docs.select("file_name").distinct().collect())
+    names = docs.agg(F.sort_array(F.collect_set("file_name"))).first()[0]
     store, base = _store_of(folder)
     store.create_dir(base, recursive=True)
     docs.write.format("policy_files").mode("append").option("path", folder).save()
