@@ -784,13 +784,22 @@ SELECT * FROM (VALUES
     ('POL-004', 'Nothing affected', DATE '1999-07-01', 'NONEXISTENT', '^NONEXISTENT', 'removed'))
     AS t(policy_id, description, effective, affected_services, pattern, change_type)""",
 )
+
+
+def half_up(value: str, places: int) -> str:
+    """Rounding half up on the decimal value of a double, as it is written."""
+    return f"CAST(round(CAST(CAST(CAST({value} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,20)), {places}) AS DOUBLE)"
+
+
+def change_pct(name: str) -> str:
+    return half_up(f"CASE WHEN pre_{name} > 0 THEN (post_{name} - pre_{name}) / pre_{name} * 100 ELSE 0 END", 2)
+
+
 IMPACT = f"""
 SELECT policy_id, description, CAST(effective AS VARCHAR) AS effective_date, affected_services, m.* EXCLUDE (id),
-    round(CASE WHEN pre_volume > 0 THEN (post_volume - pre_volume) / pre_volume * 100 ELSE 0 END, 2) AS volume_change_pct,
-    round(CASE WHEN pre_total_allowed > 0 THEN (post_total_allowed - pre_total_allowed) / pre_total_allowed * 100 ELSE 0 END, 2)
-        AS cost_change_pct,
-    round(post_denial_rate - pre_denial_rate, 4) AS denial_rate_change,
-    round(post_oon_rate - pre_oon_rate, 4) AS oon_rate_change,
+    {change_pct("volume")} AS volume_change_pct, {change_pct("total_allowed")} AS cost_change_pct,
+    {half_up("post_denial_rate - pre_denial_rate", 4)} AS denial_rate_change,
+    {half_up("post_oon_rate - pre_oon_rate", 4)} AS oon_rate_change,
     change_type = 'removed' AND pre_volume > 0 AND post_volume >= pre_volume * 0.8 AS rebound_detected,
     CASE WHEN change_type = 'removed' AND pre_volume > 0 AND post_volume >= pre_volume * 0.8
         THEN 'Post-removal volume (' || post_volume || ') is ' || printf('%.0f', round(post_volume / pre_volume * 100, 0))
