@@ -4,6 +4,7 @@ import html
 import os
 import random
 import re
+import time
 
 import pytest
 
@@ -126,3 +127,102 @@ def test_articles_of_the_driver_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
     got = {r.page_id: r.text for r in he.op1_html_extract(spark, "/root/testdata/sf0.01").collect()}
     assert got == {i: article(h) for i, h in pages.items()}
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div class='layout no-ads'><article><p>one</p></article></div>",
+        "<article class='post has-comments'><p>one</p></article>",
+        "<article class='has-sidebar'><p>one</p></article>",
+        "<article class='search-results'><p>one</p></article>",
+        "<div class='comments-layout'><article><p>one</p></article></div>",
+        "<div class='has-sidebar'><p>one</p></div>",
+        "<div id='header-free'><p>one</p></div>",
+        "<nav>menu</nav><form id='all'><div class='sidebar'>x</div><main><p>one</p><button>Send</button></main></form>",
+        "<div>" * 160 + "<nav>menu</nav><article><p>one</p></article>",
+    ],
+)
+def test_wrappers_keep_their_article(source):
+    assert text_of(source) == "one"
+
+
+def test_named_elements_that_hold_the_prose_are_wrappers():
+    prose = "".join(f"<p>{'many words of an article ' * 4}{i}</p>" for i in range(4))
+    assert text_of(f"<div class='widget'>{prose}<div class='share'>Share</div></div><div>c</div>").startswith("many words")
+    assert text_of("<p>short one</p><div class='menu'>" + "<div>a menu entry</div>" * 30 + "</div>") == "short one"
+    assert text_of(f"<div>an article of a few words</div><div class='comments'>{prose}</div>") == "an article of a few words"
+
+
+def test_equal_siblings_are_paired_after_any_number_of_others():
+    def page(n, mark):
+        return he.parse("<div>" + "".join(f"<p>{mark} {i}</p>" for i in range(n)) + "<p>Subscribe today</p></div>")
+
+    for n in (3, 5, 8):
+        for m in (3, 5, 8):
+            pairs = he.align(page(n, "a"), page(m, "b"))
+            assert len(pairs) == min(n, m) + 1 and [x.text for x, y in pairs if x.text == y.text] == ["Subscribe today"]
+
+
+def plain_score(a, b):
+    """Nodes and equal siblings of the best matching of two lists of leaves, by trying everything."""
+    if not a or not b:
+        return 0
+    pair = he._NODE * he._matched(a[0], b[0]) + (a[0].digest == b[0].digest) if a[0].label == b[0].label else -1
+    return max(plain_score(a[1:], b), plain_score(a, b[1:]), pair + plain_score(a[1:], b[1:]) if pair >= 0 else 0)
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_pairing_is_the_best_one(monkeypatch, cells):
+    monkeypatch.setattr(he, "TABLE_CELLS", cells)
+    rng = random.Random(16)
+    for _ in range(60):
+        a, b = (he.parse("".join(f"<{rng.choice(['p', 'h2'])}>{rng.randrange(3)}</p></h2>" for _ in range(rng.randrange(7)))) for _ in range(2))
+        pairs = he._paired_kids(a, b)
+        got = sum(he._NODE * he._matched(x, y) + (x.digest == y.digest) for x, y in pairs)
+        assert got == plain_score(a.kids, b.kids) and a.nodes == 1 + 2 * len(a.kids)
+
+
+def test_matched_nodes_are_as_many_as_by_trying_everything():
+    rng = random.Random(17)
+
+    def page(depth=0):
+        kids = "".join(page(depth + 1) for _ in range(rng.randrange(0, 3))) if depth < 3 else ""
+        return f"<{rng.choice(['div', 'section'])}>t{kids}</div></section>"
+
+    for _ in range(40):
+        a, b = he.parse(page() + page()), he.parse(page())
+        assert he._matched(a, b) == plain_matching(a, b)
+
+
+def test_a_page_of_20000_siblings_is_aligned_in_time():
+    a = he.parse("<article>" + "".join(f"<p>a {i}" for i in range(20_000)) + "<p>end")
+    b = he.parse("<article>" + "".join(f"<p>b {i}" for i in range(15_000)) + "<p>mid<h2>h</h2><p>end")
+    start = time.monotonic()
+    pairs = he.align(a, b)
+    assert len(pairs) == 15_002 and pairs[-1][0].text == "end" and time.monotonic() - start < 60
+
+
+def test_deep_trees_are_aligned():
+    a, b = he.parse("<div>" * 4000 + "x<p>y"), he.parse("<div>" * 4000 + "z<h2>y</h2><p>y")
+    assert [(x.text, y.text) for x, y in he.align(a, b)] == [("x", "z"), ("y", "y")]
+
+
+def test_frames_longer_than_the_articles_go(spark):
+    frame = "".join(f"<div><div>{'constant words of the frame ' * 4}{i}</div></div>" for i in range(3))
+    rows = [(i, "http://f.net/", f"<body><div class=a>{frame}</div><div class=b>{'<p>' + str(i) * 90 + '</p>'}</div></body>") for i in range(9)]
+    # Copies of the seed do not vote.
+    rows += [(100 + i, "http://f.net/", rows[0][2]) for i in range(30)]
+    got = {r.page_id: r.text for r in he.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: str(i % 100 if i < 100 else 0) * 90 for i, _, _ in rows}
+
+
+def test_layouts_of_a_host_have_templates_of_their_own(spark):
+    def page(i):
+        side, words = ("left", "About these pages") if i % 2 else ("right", "Letters to us")
+        body = "".join(f"<p>page {i} says {j}</p>" for j in range(2 + i % 5))
+        return f"<body><div class='{side}'><div>{words}</div></div><div class='mid-{side}'>{body}<p>Subscribe today</p></div></body>"
+
+    rows = [(i, "http://l.net/", page(i)) for i in range(20)]
+    got = {r.page_id: r.text for r in he.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(f"page {i} says {j}" for j in range(2 + i % 5)) for i in range(20)}
