@@ -1013,3 +1013,6 @@ ORACLE["route_arriving_claims"] = ORACLE["route_valid_rows"]
 ORACLE["write_policy_files"] = ORACLE["render_policy_docs"]
 for name, same in (("provider", "provider_features"), ("temporal", "temporal_features"), ("service_category", "service_category_features")):
     ORACLE[f"appended_{name}_features"] = ORACLE[same]
+for name in ("load_claims", "window_filter"):
+    ORACLE[f"{name}_by_month"] = ORACLE[name]
+ORACLE["policy_impact_by_month"] = ORACLE["policy_impact_from_table"]

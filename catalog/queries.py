@@ -34,7 +34,7 @@ from claimgauge.operators import (
 from claimgauge.operators.joins import join_groups
 from claimgauge.operators.stages import materialize, scratch_path
 from claimgauge.plans.policy_insights import kpis_from_claims, rules_from_claims
-from claimgauge.sources import claims as claim_tables, external_csv, policies, policy_files, reports
+from claimgauge.sources import claims as claim_tables, external_csv, monthly_claims, policies, policy_files, reports
 from claimgauge.streaming import routing
 from catalog.order_claims import order_claims
 
@@ -150,6 +150,32 @@ def external_rows(claims: DataFrame) -> DataFrame:
 # Sources and sinks
 
 
+def claims_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims by month: all of them, then the later half of the months once more in a corrected batch."""
+    claims, path = materialize(order_claims(spark, sf_dir), "claims"), scratch_path(spark, "claims-by-month")
+    later = F.col("service_date") >= F.lit(dt.date(1996, 1, 1))
+    monthly_claims.save_claims_by_month(claims.withColumn("units", F.when(later, -F.col("units")).otherwise(F.col("units"))), path)
+    monthly_claims.save_claims_by_month(claims.where(later), path)
+    return monthly_claims.load_claims_by_month(spark, path)
+
+
+@query
+def load_claims_by_month(spark, sf_dir):
+    return claims_by_month(spark, sf_dir).drop(monthly_claims.MONTH)
+
+
+@query
+def window_filter_by_month(spark, sf_dir):
+    kept = policy_events.window_filter(claims_by_month(spark, sf_dir), EVENTS[0].effective_date, WEEKS)
+    return kept.select("claim_id", "service_date", "period")
+
+
+@query
+def policy_impact_by_month(spark, sf_dir):
+    impact = policy_events.policy_impact(claims_by_month(spark, sf_dir), events_from_parts(spark, sf_dir))
+    return impact.withColumn("affected_services", as_text("affected_services"))
+
+
 @query
 def load_claims(spark, sf_dir):
     path = claim_tables.save_claims(order_claims(spark, sf_dir), scratch_path(spark, "claims"))

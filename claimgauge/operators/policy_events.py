@@ -17,6 +17,7 @@ from claimgauge.functions import money
 from claimgauge.functions.codes import has_any_prefix
 from claimgauge.functions.ratios import count_where, rate, ratio
 from claimgauge.functions.text import percent
+from claimgauge.sources.monthly_claims import in_months, in_months_of
 
 Events = DataFrame | list[PolicyChangeEvent]
 
@@ -51,9 +52,10 @@ def _windows(effective: dt.date, weeks: int) -> dict[str, Column]:
 
 
 def window_filter(claims: DataFrame, effective: dt.date, weeks: int) -> DataFrame:
-    """Claims within the windows around a date, with ``period`` 'pre' or 'post'."""
+    """Claims within the windows around a date, with ``period`` 'pre' or 'post'; of claims by month only these months."""
     windows = _windows(effective, weeks)
-    return claims.where(windows["pre"] | windows["post"]).withColumn(
+    length = dt.timedelta(weeks=weeks)
+    return in_months(claims, effective - length, effective + length).where(windows["pre"] | windows["post"]).withColumn(
         "period", F.when(windows["pre"], "pre").otherwise("post")
     )
 
@@ -148,12 +150,15 @@ def _week(day: Column) -> Column:
     return F.floor(F.date_diff(day, F.lit(FIRST_DAY)) / 7)
 
 
+def _with_windows(by_prefix: DataFrame, weeks: int) -> DataFrame:
+    start, end = F.date_sub("effective_date", 7 * weeks), F.date_add("effective_date", 7 * weeks)
+    return by_prefix.where(F.lit(weeks > 0)).withColumns({"start_date": start, "end_date": end})
+
+
 def _windows_by_week(by_prefix: DataFrame, weeks: int) -> DataFrame:
     """Every event's prefixes in every week that its windows touch."""
-    start, end = F.date_sub("effective_date", 7 * weeks), F.date_add("effective_date", 7 * weeks)
-    touched = F.sequence(_week(start), _week(F.date_sub(end, 1)))
-    windows = by_prefix.where(F.lit(weeks > 0)).withColumns({"start_date": start, "end_date": end})
-    return windows.withColumn("week", F.explode(touched))
+    touched = F.sequence(_week(F.col("start_date")), _week(F.date_sub("end_date", 1)))
+    return _with_windows(by_prefix, weeks).withColumn("week", F.explode(touched))
 
 
 def events_metrics(claims: DataFrame, events: DataFrame, weeks: int) -> DataFrame:
@@ -161,13 +166,14 @@ def events_metrics(claims: DataFrame, events: DataFrame, weeks: int) -> DataFram
 
     Claims are summed per code and day, then per prefix of the index and day; only these sums meet the events, by
     prefix and week, and exact dates decide after that. A claim that two prefixes of an event cover counts once.
+    Of claims by month, only months that a window touches are read.
     """
     by_prefix = _by_prefix(events)
     first, last = by_prefix.agg(F.min("effective_date"), F.max("effective_date")).first()
     reach = F.lit(False)
     if first:
         reach = (F.col("service_date") >= F.date_sub(F.lit(first), 7 * weeks)) & (F.col("service_date") < F.date_add(F.lit(last), 7 * weeks))
-    in_reach = claims.where(reach & F.col("procedure_code").isNotNull())
+    in_reach = in_months_of(claims, _with_windows(by_prefix, weeks)).where(reach & F.col("procedure_code").isNotNull())
     wanted = by_prefix.select("prefix").distinct()
     # A few prefixes go to the reader as well; more would only lengthen the plan.
     few = wanted.limit(PUSHED_PREFIXES + 1).agg(F.collect_set("prefix")).first()[0]
