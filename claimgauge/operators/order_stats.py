@@ -1,11 +1,17 @@
 """Exact quantiles, medians and row numbers without sorting a group in one task.
 
-Values are counted once per group with map-side sums, and the distinct ones are sorted over all tasks by
-range. How many rows each task holds of a group tells in which task a rank lies; only there are the
-values of that task ordered and counted up. A group may hold any share of all rows, and its values may
-lie as close together as doubles can: no task ever holds more than one range partition.
-
-The sorted counts are a stored stage, so calling one of these functions runs a job.
+Ranks are found by refining histograms. The first pass counts the values of each group in buckets of
+their sign and logarithm; the bucket that holds a wanted rank is cut into equal parts in the next pass,
+which reads the rows of such buckets only, and so on until a bucket holds one value or at most :data:`FEW` rows.
+The table is neither sorted nor ranged: counts per bucket are shuffled, summed on the map side first. A bucket's
+number never falls as the value grows, so ranks are exact however the values lie and however they are rounded.
+
+Passes end soon. Finite doubles of one first bucket differ by a factor of less than ``e ** (1 / STEPS)``, which at most
+2^48 doubles do, and each further pass parts them by 2^16: five passes settle any table, two the usual one. A pass
+counts at most :data:`FIRST_BUCKETS` or ``PARTS + 1`` buckets per group and wanted bucket, which bounds its windows.
+
+The table is read once per pass over it, twice as a rule, so one that is dear to derive is better stored first. The bucket
+found for each rank, and the rows of large ones, are stored stages, so calling one of these functions runs jobs.
 """
 
 from __future__ import annotations
@@ -19,6 +25,17 @@ from claimgauge.operators.stages import materialize
 
 Ranks = dict[str, Callable[[Column], Column]]
 
+#: Buckets of the first pass per factor of e, and parts of a bucket in each later pass.
+STEPS, PARTS = 64, 65_536
+#: Above the number of any finite magnitude: natural logarithms of doubles lie within -745 and 710.
+SHIFT = 50_000
+#: Bound of the buckets of one group in the first pass: both signs, zero, infinities and not-a-number.
+FIRST_BUCKETS = 2 * (745 + 710) * STEPS + 4
+#: A wanted bucket of at most so many rows is ordered in one array.
+FEW = 4096
+#: Tasks over which the rows of one wanted bucket are spread when they meet it.
+SALTS = 8
+
 
 def nearest_rank(q: float) -> Callable[[Column], Column]:
     """1-based rank of the q-quantile under nearest interpolation."""
@@ -29,75 +46,118 @@ LOWER_MIDDLE: Callable[[Column], Column] = lambda n: F.floor((n + 1) / 2)
 UPPER_MIDDLE: Callable[[Column], Column] = lambda n: F.floor(n / 2) + 1
 
 
-def sorted_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct non-null values per group with their number ``n`` and the task ``part`` of their range, stored."""
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("value"))
-        .agg(F.count("*").alias("n"))
-    )
-    return materialize(
-        counted.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()), "sorted-counts"
+def magnitude_bucket(value: Column) -> Column:
+    """The first pass's bucket of a double; infinities and not-a-number, which orders last, have their own."""
+    infinity = F.lit(float("inf"))
+    size = F.floor(F.ln(F.abs(value)) * STEPS) + SHIFT
+    return (
+        F.when(F.isnan(value), 3 * SHIFT)
+        .when(F.abs(value) == infinity, F.signum(value) * (2 * SHIFT))
+        .when(value == 0, 0)
+        .otherwise(F.signum(value) * size)
+        .cast("int")
     )
 
 
-def locate_ranks(counts: DataFrame, keys: list[str], ranks: Ranks) -> DataFrame:
-    """The part of each wanted rank and the rank inside it: ``keys, part, pick, inner_rank``.
+def part_of_bucket(value: Column, low: Column, high: Column) -> Column:
+    """The later passes' bucket: the part of ``low`` to ``high`` a value lies in, 0 at the one and ``PARTS`` at the other."""
+    return F.floor((value - low) / (high - low) * PARTS).cast("int")
 
-    The windows run over the parts of one group, at most as many as there are partitions.
+
+def bucket_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows, lowest and highest value per group, slot and bucket, with the rows up to the bucket as ``n_upto``.
+
+    A slot is a bucket of the pass before, named by its lowest value.
     """
-    sums = counts.groupBy(*keys, "part").agg(F.sum("n").alias("n_part"))
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    upto = group.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sums.withColumns({"n_group": F.sum("n_part").over(group), "n_upto": F.sum("n_part").over(upto)})
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("pick"), rank(F.col("n_group")).cast("long").alias("rank"))
-            for name, rank in ranks.items()
-        ]
-    )
+    slot = Window.partitionBy(*keys, "slot")
+    upto = slot.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        placed.withColumn("n_before", F.col("n_upto") - F.col("n_part"))
-        .withColumn("wanted", F.explode(wanted))
-        .where((F.col("wanted.rank") > F.col("n_before")) & (F.col("wanted.rank") <= F.col("n_upto")))
-        .select(
-            *keys,
-            "part",
-            F.col("wanted.pick").alias("pick"),
-            (F.col("wanted.rank") - F.col("n_before")).alias("inner_rank"),
-        )
+        rows.groupBy(*keys, "slot", "bucket")
+        .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .withColumns({"n_slot": F.sum("n").over(slot), "n_upto": F.sum("n").over(upto)})
     )
 
 
-def values_at(counts: DataFrame, keys: list[str], located: DataFrame, names: list[str]) -> DataFrame:
-    """The values at located ranks, one row per group and one column per name."""
-    spots = located.select(
-        *[F.col(k).alias(f"spot_{k}") for k in keys], F.col("part").alias("spot_part"), "pick", "inner_rank"
-    )
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"spot_{k}")) for k in keys],
-        F.col("part") == F.col("spot_part"),
-    )
-    upto = (
-        Window.partitionBy(*keys, "part", "pick")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _same(keys: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+
+
+def _reached(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Buckets that hold the rank beside them, with the rank counted from the bucket's first row."""
+    before = F.col("n_upto") - F.col("n")
+    held = counts.where((F.col("rank") > before) & (F.col("rank") <= F.col("n_upto")))
+    return held.withColumn("rank", F.col("rank") - before).select(*keys, "slot", "bucket", "n", "low", "high", "pick", "rank")
+
+
+def first_buckets(rows: DataFrame, keys: list[str], ranks: Ranks) -> DataFrame:
+    """The bucket of each wanted rank of each group."""
+    wanted = F.array(
+        *[F.struct(F.lit(name).alias("pick"), rank(F.col("n_slot")).cast("long").alias("rank")) for name, rank in ranks.items()]
     )
-    reached = (
-        counts.join(spots, on)
-        .withColumn("n_upto", F.sum("n").over(upto))
-        .where((F.col("n_upto") >= F.col("inner_rank")) & (F.col("n_upto") - F.col("n") < F.col("inner_rank")))
+    counts = bucket_counts(rows, keys).withColumn("wanted", F.explode(wanted))
+    return _reached(counts.select("*", "wanted.pick", "wanted.rank"), keys)
+
+
+def next_buckets(rows: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """The same one pass later, where ``found`` has the ranks of the slots that the rows are in."""
+    spots = found.select(*[F.col(k).alias(f"spot_{k}") for k in keys], F.col("low").alias("spot_slot"), "pick", "rank")
+    return _reached(bucket_counts(rows, keys).join(spots, _same([*keys, "slot"], "spot_")), keys)
+
+
+def rows_of_buckets(rows: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """The rows in the buckets found, which become their slots, beside the slot's ``high`` and ``picks``.
+
+    A bucket of many rows is met by several tasks where the buckets are too many to be broadcast.
+    """
+    names = [*keys, "slot", "bucket"]
+    buckets = found.groupBy(*names, "low", "high").agg(F.collect_list(F.struct("pick", "rank")).alias("picks"))
+    spread = buckets.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    renamed = spread.select(*[F.col(name).alias(f"spot_{name}") for name in [*names, "salt"]], "low", "high", "picks")
+    salted = rows.select(*names, "value").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+    return salted.join(renamed, _same([*names, "salt"], "spot_")).select(*keys, F.col("low").alias("slot"), "high", "picks", "value")
+
+
+def values_of_small_buckets(rows: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """``keys, pick, value`` of ranks in buckets of at most :data:`FEW` rows, which are ordered in an array."""
+    gathered = (
+        rows_of_buckets(rows, keys, found)
+        .groupBy(*keys, "slot")
+        .agg(F.sort_array(F.collect_list("value")).alias("ordered"), F.any_value("picks").alias("picks"))
     )
-    return reached.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("pick") == name, F.col("value"))).alias(name) for name in names]
+    picked = gathered.withColumn("picked", F.explode("picks"))
+    return picked.select(*keys, "picked.pick", F.element_at("ordered", F.col("picked.rank").cast("int")).alias("value"))
+
+
+def refine(df: DataFrame, keys: list[str], value: str, ranks: Ranks) -> list[DataFrame]:
+    """Tables of ``keys, pick, value``, one or two from each pass, which hold every wanted rank once."""
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, (F.col(value).cast("double") + F.lit(0.0)).alias("value"), F.lit(0.0).alias("slot")
     )
+    rows = rows.withColumn("bucket", magnitude_bucket(F.col("value")))
+    found = materialize(first_buckets(rows, keys, ranks), "rank-buckets")
+    done = []
+    # Every pass parts the lowest value of a bucket from its highest, so this ends.
+    while True:
+        done.append(found.where("low = high").select(*keys, "pick", F.col("low").alias("value")))
+        unsettled = found.where("low < high")
+        least, most = unsettled.agg(F.min("n"), F.max("n")).first()
+        if least is not None and least <= FEW:
+            done.append(values_of_small_buckets(rows, keys, unsettled.where(F.col("n") <= FEW)))
+        if most is None or most <= FEW:
+            return done
+        large = unsettled.where(F.col("n") > FEW)
+        kept = materialize(rows_of_buckets(rows, keys, large).drop("picks"), "rows-of-buckets")
+        rows = kept.withColumn("bucket", part_of_bucket(F.col("value"), F.col("slot"), F.col("high")))
+        found = materialize(next_buckets(rows, keys, large), "rank-buckets")
 
 
 def select_ranks(df: DataFrame, keys: list[str], value: str, ranks: Ranks) -> DataFrame:
-    """The values at the given ranks of each group's ascending non-null values."""
-    counts = sorted_counts(df, keys, value)
-    return values_at(counts, keys, locate_ranks(counts, keys, ranks), list(ranks))
+    """The values at the given ranks of each group's ascending non-null values, one column per name.
+
+    Groups without a value have no row; without keys there is always one row, null if there is no value.
+    """
+    found = reduce(DataFrame.union, refine(df, keys, value, ranks))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("pick") == name, F.col("value"))).alias(name) for name in ranks])
 
 
 def nearest_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
