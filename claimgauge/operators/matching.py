@@ -1,19 +1,15 @@
 """Claims matched to the policy rule that fits them best.
 
 A rule scores 0.6 for the procedure code, 0.2 for the site of service and 0.2 for a shared
-diagnosis code. With three yes/no parts only these totals occur, so the best rule of a claim is
-the first one found when looking, from the highest total down, for the earliest rule under
+diagnosis code. With three yes/no parts, a claim's best rule is found by looking it up under every choice of
+its code, its site and one of its diagnoses, in one index of the rules: each rule is listed there under every choice of
+its own codes, site and diagnoses, and only the earliest rule of a choice is kept. A choice scores what its parts
+score. The best-scoring choice found names the best rule, the earliest one where scores are equal: a rule that scores more
+than the choice it was found under is also listed under a better choice of the claim's.
 
-    code + site + diagnosis      1.0
-    code + site, code + diagnosis 0.8
-    code                         0.6
-    site + diagnosis             0.4
-    site, diagnosis              0.2
-
-Each line is a join with an index built from the rules, which holds the earliest rule per key.
 Claims are never paired with rules: only their distinct combinations of the three columns are looked
-up, so the work grows with the combinations and the index entries. A key such as the claim type alone
-has few values, so those joins are salted by the combination, and index rows repeated per salt.
+up, in one join, so the work grows with the combinations and the index entries. A choice such as the claim type
+alone has few values, so the join is salted by the combination, and index rows repeated per salt.
 """
 
 from __future__ import annotations
@@ -36,8 +32,7 @@ CODE_TENTHS, SITE_TENTHS, DIAGNOSIS_TENTHS = 6, 2, 2
 SALTS = 16
 
 CLAIM_KEYS = ["procedure_code", "claim_type", "diagnosis_codes"]
-LEVELS = {"code_site": ["code", "site"], "code": ["code"], "site": ["site"], "anywhere": []}
-CLAIM_COLUMN = {"code": "procedure_code", "site": "claim_type", "diagnosis": "diagnosis"}
+PARTS = ["code", "site", "diagnosis"]
 
 
 def match_score(pairs: DataFrame) -> DataFrame:
@@ -53,104 +48,67 @@ def match_score(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("match_confidence", reduce(lambda a, b: a + b, parts) / 10)
 
 
-def _index_rules(rules: DataFrame, order_by: str) -> DataFrame:
-    """Rules as ``best`` (its order and id), ``codes``, ``site`` and ``diagnoses``."""
-    site = strip(F.col("site_of_service"))
-    return rules.select(
-        F.struct(F.col(order_by).alias("place"), F.coalesce("policy_id", F.lit(UNNAMED)).alias("policy_id")).alias("best"),
-        F.array_distinct(F.coalesce("covered_cpt_codes", F.array().cast("array<string>"))).alias("codes"),
-        F.when(site != "", site).alias("site"),
-        F.array_distinct(F.coalesce("diagnosis_constraints", F.array().cast("array<string>"))).alias("diagnoses"),
-    )
-
-
-def _by_keys(indexed: DataFrame, keys: list[str]) -> DataFrame:
-    """Rules spread over the keys of one level; rules without such a key drop out."""
-    if "code" in keys:
-        indexed = indexed.withColumn("code", F.explode("codes"))
-    return indexed.dropna(subset=keys) if keys else indexed
-
+def _texts(values: Column) -> Column:
+    return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda value: value.isNotNull())
 
-def _tenths(keys: list[str]) -> int:
-    return CODE_TENTHS * ("code" in keys) + SITE_TENTHS * ("site" in keys)
 
+def _choices(df: DataFrame, keep: list[str | Column], codes: Column, sites: Column, diagnoses: Column) -> DataFrame:
+    """Rows spread over all choices of parts, where null means that a part is not chosen."""
+    nothing = F.array(F.lit(None).cast("string"))
+    spread = df.select(*keep, codes.alias("codes"), sites.alias("sites"), diagnoses.alias("diagnoses"))
+    for part, values in zip(PARTS, ("codes", "sites", "diagnoses")):
+        spread = spread.withColumn(part, F.explode(F.array_union(values, nothing))).drop(values)
+    return spread.where(F.coalesce(*PARTS).isNotNull())
 
-def _first_rule(tenths: int) -> Column:
-    """The earliest rule of a group, together with the total it scores there."""
-    best = F.min("best")
-    return F.struct(
-        best["place"].alias("place"), best["policy_id"].alias("policy_id"), F.lit(tenths).alias("tenths")
-    ).alias("earliest")
 
-
-def _earliest(indexed: DataFrame, keys: list[str]) -> DataFrame:
-    return _by_keys(indexed, keys).groupBy(*keys).agg(_first_rule(_tenths(keys)))
-
-
-def _earliest_by_diagnosis(indexed: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        _by_keys(indexed, keys)
-        .withColumn("diagnosis", F.explode("diagnoses"))
-        .where(F.col("diagnosis").isNotNull())
-        .groupBy(*keys, "diagnosis")
-        .agg(_first_rule(_tenths(keys) + DIAGNOSIS_TENTHS))
+def rule_index(rules: DataFrame, order_by: str) -> DataFrame:
+    """The earliest rule (``place, policy_id``) per choice of its code, site and diagnosis."""
+    best = F.struct(F.col(order_by).alias("place"), F.coalesce("policy_id", F.lit(UNNAMED)).alias("policy_id"))
+    site = strip(F.coalesce("site_of_service", F.lit("")))
+    listed = _choices(
+        rules,
+        [best.alias("best")],
+        _texts(F.col("covered_cpt_codes")),
+        F.filter(F.array(site), lambda value: value != ""),
+        _texts(F.col("diagnosis_constraints")),
     )
-
-
-def _best(any_rule: dict[str, Column], diagnosis_rule: dict[str, Column]) -> Column:
-    """The rule of the first level that has one; later levels are not even looked at."""
-    return F.coalesce(
-        diagnosis_rule["code_site"],
-        F.least(any_rule["code_site"], diagnosis_rule["code"]),
-        any_rule["code"],
-        diagnosis_rule["site"],
-        F.least(any_rule["site"], diagnosis_rule["anywhere"]),
+    return listed.groupBy(*PARTS).agg(F.min("best").alias("best"))
+
+
+def _best_of_combinations(combos: DataFrame, index: DataFrame) -> DataFrame:
+    """``policy_id`` and ``match_confidence`` of the distinct combinations that fit a rule."""
+    salt = F.pmod(F.xxhash64(*CLAIM_KEYS), F.lit(SALTS)).cast("int").alias("salt")
+    looked_up = _choices(
+        combos,
+        [*CLAIM_KEYS, salt],
+        _texts(F.array("procedure_code")),
+        _texts(F.array("claim_type")),
+        _texts(diagnosis_list(F.col("diagnosis_codes"))),
     )
-
-
-def _assignments() -> list[Column]:
-    best = F.col("best")
-    return [
-        F.coalesce(best["policy_id"], F.lit(UNMATCHED)).alias("policy_id"),
-        (F.coalesce(best["tenths"], F.lit(0)) / 10).alias("match_confidence"),
-    ]
-
-
-def _look_up(rows: DataFrame, index: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``rows``, which have a ``salt``, with the index's ``earliest`` under the keys as ``name``."""
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    renamed = index.select(
-        *[F.col(k).alias(f"index_{k}") for k in keys], F.col("earliest").alias(name), salts.alias("index_salt")
+    salted = index.select(*[F.col(part).alias(f"index_{part}") for part in PARTS], "best").withColumn(
+        "index_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     )
-    on = [F.col(CLAIM_COLUMN[k]) == F.col(f"index_{k}") for k in keys] + [F.col("salt") == F.col("index_salt")]
-    found = rows.join(renamed, reduce(lambda a, b: a & b, on), "left")
-    return found.drop("index_salt", *[f"index_{k}" for k in keys])
-
-
-def _best_of_combinations(combos: DataFrame, indexed: DataFrame) -> DataFrame:
-    """The distinct combinations with ``policy_id`` and ``match_confidence``."""
-    combos = combos.withColumn("salt", F.pmod(F.xxhash64(*CLAIM_KEYS), F.lit(SALTS)).cast("int"))
-    codes = combos.withColumn("diagnosis", F.explode(F.array_distinct(diagnosis_list(F.col("diagnosis_codes")))))
-    for level, keys in LEVELS.items():
-        codes = _look_up(codes, _earliest_by_diagnosis(indexed, keys), [*keys, "diagnosis"], f"dx_{level}")
-    by_diagnosis = codes.groupBy(*CLAIM_KEYS).agg(*[F.min(f"dx_{level}").alias(f"dx_{level}") for level in LEVELS])
-    found = join_groups(combos, by_diagnosis, CLAIM_KEYS)
-    for level, keys in LEVELS.items():
-        if keys:
-            found = _look_up(found, _earliest(indexed, keys), keys, level)
-    best = _best(
-        {level: F.col(level) for level in LEVELS if LEVELS[level]},
-        {level: F.col(f"dx_{level}") for level in LEVELS},
+    same = [F.col(part).eqNullSafe(F.col(f"index_{part}")) for part in PARTS]
+    scores = zip(PARTS, (CODE_TENTHS, SITE_TENTHS, DIAGNOSIS_TENTHS))
+    tenths = reduce(lambda a, b: a + b, [F.when(F.col(part).isNotNull(), score).otherwise(0) for part, score in scores])
+    fit = F.struct((-tenths).alias("order"), "best.place", "best.policy_id")
+    return (
+        looked_up.join(salted, reduce(lambda a, b: a & b, same, F.col("salt") == F.col("index_salt")))
+        .groupBy(*CLAIM_KEYS)
+        .agg(F.min(fit).alias("fit"))
+        .select(*CLAIM_KEYS, "fit.policy_id", (-F.col("fit.order") / 10).alias("match_confidence"))
     )
-    return found.withColumn("best", best).select(*CLAIM_KEYS, *_assignments())
 
 
 def match_claims_to_policies(claims: DataFrame, rules: DataFrame, order_by: str = "source_file") -> DataFrame:
     """Claims with ``policy_id`` and ``match_confidence`` of the best rule.
 
     Of equally good rules the first by ``order_by`` wins. Claims that no rule fits are
-    ``unmatched`` with confidence 0. Duplicate claims stay. Nothing runs before an action; the rules are
-    read once per index, so derived rules are better stored first.
+    ``unmatched`` with confidence 0. Duplicate claims stay. Nothing runs before an action; derived rules are better
+    stored first, so that their size is known when the join is planned.
     """
     combos = claims.select(*CLAIM_KEYS).distinct()
-    return join_groups(claims, _best_of_combinations(combos, _index_rules(rules, order_by)), CLAIM_KEYS)
+    matched = join_groups(claims, _best_of_combinations(combos, rule_index(rules, order_by)), CLAIM_KEYS)
+    return matched.withColumns(
+        {"policy_id": F.coalesce("policy_id", F.lit(UNMATCHED)), "match_confidence": F.coalesce("match_confidence", F.lit(0.0))}
+    )

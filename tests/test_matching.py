@@ -104,6 +104,30 @@ def test_no_pairing_and_no_job_before_the_action(spark, make_claims, tmp_path):
     plan = matched._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "Subquery"):
         assert operator not in plan
+    # One join with the index, one that hands the results to the claims.
+    assert plan.count("HashJoin") + plan.count("SortMergeJoin") == 2
+
+
+def test_the_same_with_shuffled_joins(spark, make_claims):
+    """Half of the claims are alike, null parts meet nothing, and no table is broadcast."""
+    claims = [
+        {"procedure_code": "A" if i % 2 else None, "claim_type": "S" if i % 2 else None, "diagnosis_codes": "[]" if i % 2 else f'["x{i % 7}", null]'}
+        for i in range(100)
+    ]
+    rules = [
+        {"policy_id": "none", "covered_cpt_codes": [None], "diagnosis_constraints": [None, "x1"]},
+        {"policy_id": "site", "site_of_service": " S", "diagnosis_constraints": ["x2", "x2"]},
+        {"policy_id": "code", "covered_cpt_codes": ["A", "A", None]},
+    ]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        matched = match_claims_to_policies(make_claims(*claims), table(spark, rules)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {r["claim_id"]: (r["policy_id"], r["match_confidence"]) for r in matched}
+    plain = [{**rule, "covered_cpt_codes": [c for c in rule.get("covered_cpt_codes", []) if c],
+              "diagnosis_constraints": [d for d in rule.get("diagnosis_constraints", []) if d]} for rule in rules]
+    assert got == {f"C{i}": expected(claim, plain) for i, claim in enumerate(claims, 1)}
 
 
 @pytest.fixture(scope="module")
