@@ -1007,7 +1007,10 @@ FROM (SELECT billed_amount, row_number() OVER (ORDER BY billed_amount DESC) AS r
 check("write_features_claims", "tagged", "SELECT * FROM tagged")
 for name, same in (("provider", "provider_features"), ("temporal", "temporal_features"), ("service_category", "service_category_features")):
     ORACLE[f"write_features_{name}"] = ORACLE[same]
-for name in ("denial_categories", "top_appeal_providers", "benchmark_compare", "policy_impact", "all_flags"):
+for name in (
+    "denial_categories", "top_appeal_providers", "benchmark_compare", "policy_impact", "all_flags", "validate_claims",
+    "validate_issues", "policy_kpis",
+):
     ORACLE[f"write_reports_{name}"] = ORACLE[name]
 ORACLE["route_arriving_claims"] = ORACLE["route_valid_rows"]
 ORACLE["write_policy_files"] = ORACLE["render_policy_docs"]

@@ -192,7 +192,9 @@ def load_external_csv(spark, sf_dir):
 @query
 def write_features(spark, sf_dir):
     path = scratch_path(spark, "features")
-    written = claim_tables.write_features(features.all_features(order_claims(spark, sf_dir)), path)
+    written = claim_tables.write_features({"claims": features.tag_service_category(order_claims(spark, sf_dir))}, path)
+    tables = features.all_features(claim_tables.load_table(spark, written["claims"]))
+    written |= claim_tables.write_features({name: tables[name] for name in tables if name != "claims"}, path)
     sizes = [
         claim_tables.load_table(spark, written[name]).agg(F.lit(name).alias("feature_set"), F.count("*").alias("n_rows"))
         for name in written
@@ -324,7 +326,9 @@ def validate_claims(spark, sf_dir):
 
 @query
 def validate_issues(spark, sf_dir):
-    issues = validation.validate_issues(with_faults(order_claims(spark, sf_dir)))
+    # Scanned for counts and again for examples.
+    claims = materialize(with_faults(order_claims(spark, sf_dir)), "claims")
+    issues = validation.validate_issues(claims)
     return issues.withColumn("examples", as_text("examples"))
 
 
@@ -773,6 +777,9 @@ def _written_report(name: str) -> Query:
 
 for feature_set in ("claims", "provider", "temporal", "service_category"):
     query(_written_features(feature_set))
-REPORTS = ("denial_categories", "top_appeal_providers", "benchmark_compare", "policy_impact", "all_flags")
+REPORTS = (
+    "denial_categories", "top_appeal_providers", "benchmark_compare", "policy_impact", "all_flags", "validate_claims",
+    "validate_issues", "policy_kpis",
+)
 for report_name in REPORTS:
     query(_written_report(report_name))
