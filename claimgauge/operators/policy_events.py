@@ -155,25 +155,28 @@ def _with_windows(by_prefix: DataFrame, weeks: int) -> DataFrame:
     return by_prefix.where(F.lit(weeks > 0)).withColumns({"start_date": start, "end_date": end})
 
 
-def _windows_by_week(by_prefix: DataFrame, weeks: int) -> DataFrame:
-    """Every event's prefixes in every week that its windows touch."""
+def _windows_by_week(windows: DataFrame, weeks: int) -> DataFrame:
+    """The prefix and date of every window in every week that it touches."""
     touched = F.sequence(_week(F.col("start_date")), _week(F.date_sub("end_date", 1)))
-    return _with_windows(by_prefix, weeks).withColumn("week", F.explode(touched))
+    return _with_windows(windows, weeks).withColumn("week", F.explode(touched))
 
 
 def events_metrics(claims: DataFrame, events: DataFrame, weeks: int) -> DataFrame:
     """``position, period`` and the measures of the claims that each event covers in its windows.
 
-    Claims are summed per code and day, then per prefix of the index and day; only these sums meet the events, by
-    prefix and week, and exact dates decide after that. A claim that two prefixes of an event cover counts once.
-    Of claims by month, only months that a window touches are read.
+    Claims are summed per code and day, then per prefix of the index and day; only these sums meet the windows, by
+    prefix and week, and exact dates decide after that. Events with a prefix and a date in common share a window, so that
+    there are no more windows than prefixes times days, and every event looks its windows' measures up. Spark would take
+    the size of the files of the events for that of the rows made from them, so neither join is a broadcast of these.
+    A claim that two prefixes of an event cover counts once. Of claims by month, only months that a window touches are read.
     """
     by_prefix = _by_prefix(events)
+    windows = by_prefix.select("prefix", "effective_date").distinct()
     first, last = by_prefix.agg(F.min("effective_date"), F.max("effective_date")).first()
     reach = F.lit(False)
     if first:
         reach = (F.col("service_date") >= F.date_sub(F.lit(first), 7 * weeks)) & (F.col("service_date") < F.date_add(F.lit(last), 7 * weeks))
-    in_reach = in_months_of(claims, _with_windows(by_prefix, weeks)).where(reach & F.col("procedure_code").isNotNull())
+    in_reach = in_months_of(claims, _with_windows(windows, weeks)).where(reach & F.col("procedure_code").isNotNull())
     wanted = by_prefix.select("prefix").distinct()
     # A few prefixes go to the reader as well; more would only lengthen the plan.
     few = wanted.limit(PUSHED_PREFIXES + 1).agg(F.collect_set("prefix")).first()[0]
@@ -182,13 +185,16 @@ def events_metrics(claims: DataFrame, events: DataFrame, weeks: int) -> DataFram
     daily = in_reach.groupBy("procedure_code", "service_date").agg(*_measures())
     spread = daily.withColumn("prefix", F.explode(_prefixes_of(F.col("procedure_code"), by_prefix)))
     by_day = spread.join(wanted, "prefix", "left_semi").groupBy("prefix", "service_date").agg(*_merged())
-    met = (
+    period = F.when(F.col("service_date") < F.col("effective_date"), PERIODS[0]).otherwise(PERIODS[1])
+    measured = (
         by_day.withColumn("week", _week(F.col("service_date")))
-        .join(_windows_by_week(by_prefix, weeks), ["prefix", "week"])
+        .join(_windows_by_week(windows, weeks).hint("merge"), ["prefix", "week"])
         .where((F.col("service_date") >= F.col("start_date")) & (F.col("service_date") < F.col("end_date")))
+        .groupBy("prefix", "effective_date", period.alias("period"))
+        .agg(*_merged())
     )
-    period = F.when(F.col("service_date") < F.col("effective_date"), PERIODS[0]).otherwise(PERIODS[1])
-    return met.groupBy("position", period.alias("period")).agg(*_merged())
+    met = by_prefix.hint("merge").join(measured, ["prefix", "effective_date"])
+    return met.groupBy("position", "period").agg(*_merged())
 
 
 def policy_impact(claims: DataFrame, events: Events, config: DetectionConfig = DetectionConfig()) -> DataFrame:

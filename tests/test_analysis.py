@@ -95,6 +95,20 @@ def test_one_plan_for_any_number_of_events(spark, make_claims):
     )
 
 
+def test_rows_made_from_events_are_not_broadcast(spark, make_claims, tmp_path):
+    """The files of the events are small, the rows by week made from them many times as large."""
+    claims = make_claims({"procedure_code": "CPT-70100", "service_date": dt.date(2024, 5, 1)})
+    rows = [(i, f"P{i}", "", JULY, ["CPT-7", "RX"], "removed") for i in range(500)]
+    path = f"{tmp_path}/events"
+    spark.createDataFrame(rows, policy_events.EVENT_COLUMNS).write.parquet(path)
+    measured = policy_events.events_metrics(claims, spark.read.parquet(path), 12)
+    plan = measured._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [prefix" in line]
+    assert sum("week" in line or "effective_date" in line for line in joins) == 2
+    assert not any("Broadcast" in line for line in joins if "week" in line or "effective_date" in line)
+    assert [(r["period"], r["volume"]) for r in measured.select("period", "volume").distinct().collect()] == [("pre", 1)]
+
+
 def test_windows_are_half_open(make_claims):
     days = [JULY - dt.timedelta(84), JULY - dt.timedelta(85), JULY, JULY + dt.timedelta(83), JULY + dt.timedelta(84)]
     claims = make_claims(*[{"service_date": day} for day in days])
