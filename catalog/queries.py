@@ -100,6 +100,10 @@ POLICY_COLUMNS = (
     "denial_flag",
 )
 IMPACT_COLUMNS = ("procedure_code", "service_date", "allowed_amount", "denial_flag", "network_status")
+FEATURE_COLUMNS = (
+    "provider_id", "member_id", "procedure_code", "service_date", "billed_amount", "allowed_amount", "units",
+    "network_status", "denial_flag", "appeal_flag", "dme_flag", "specialty", "geography_state", "geography_region",
+)
 
 
 def stored_claims(spark: SparkSession, sf_dir: str, columns=POLICY_COLUMNS) -> DataFrame:
@@ -606,7 +610,8 @@ def _features_after_appending(name: str) -> Query:
     """Features from a stored state that took the older claims first and the newer ones as a second batch."""
 
     def run(spark, sf_dir):
-        claims = order_claims(spark, sf_dir)
+        # Each of the state's four tables reads its batch.
+        claims = stored_claims(spark, sf_dir, FEATURE_COLUMNS)
         older = F.col("service_date") < F.lit(dt.date(1999, 1, 1))
         root = scratch_path(spark, "feature-state")
         for batch_name, batch in (("older", claims.where(older)), ("newer", claims.where(~older))):

@@ -71,7 +71,10 @@ def load_state(spark: SparkSession, root: str, version: int | None = None) -> St
 
 
 def append_to_state(spark: SparkSession, root: str, batch: DataFrame, batch_name: str) -> int:
-    """Merge a batch of claims into the stored state; returns the number of the state that holds it."""
+    """Merge a batch of claims into the stored state; returns the number of the state that holds it.
+
+    The batch is read once per table of the state, so it should be stored, not derived anew each time.
+    """
     version = last_version(spark, root)
     state = feature_state(batch)
     batches = spark.createDataFrame([(batch_name,)], "batch STRING")
