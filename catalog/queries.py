@@ -92,7 +92,11 @@ def with_faults(claims: DataFrame) -> DataFrame:
 
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider features as a stored table, which is what the rules expect."""
-    return materialize(features.provider_features(order_claims(spark, sf_dir)), "provider-features")
+    return stored_providers(stored_claims(spark, sf_dir, FEATURE_COLUMNS))
+
+
+def stored_providers(claims: DataFrame) -> DataFrame:
+    return materialize(features.provider_features(claims), "provider-features")
 
 
 POLICY_COLUMNS = (
@@ -708,7 +712,8 @@ def roundtrip_check(spark, sf_dir):
 
 @query
 def report_key_metrics(spark, sf_dir):
-    return report_tables.report_key_metrics(order_claims(spark, sf_dir), detection.all_flags(providers(spark, sf_dir)))
+    claims = stored_claims(spark, sf_dir, FEATURE_COLUMNS)
+    return report_tables.report_key_metrics(claims, detection.all_flags(stored_providers(claims)))
 
 
 @query

@@ -19,3 +19,10 @@ def test_batches_of_a_feature_state_are_stored(spark, monkeypatch):
     monkeypatch.setattr(queries.feature_state, "append_to_state", lambda s, root, batch, name: (given.append(batch), append(s, root, batch, name)))
     queries.QUERIES["appended_service_category_features"](spark, SF_DIR)
     assert len(given) == 2 and not any(map(derived, given))
+
+
+def test_claims_of_key_metrics_and_providers_are_stored(spark, monkeypatch):
+    given, provider_features = [], queries.features.provider_features
+    monkeypatch.setattr(queries.features, "provider_features", lambda claims: (given.append(claims), provider_features(claims))[1])
+    metrics = queries.QUERIES["report_key_metrics"](spark, SF_DIR)
+    assert len(given) == 1 and not derived(given[0]) and not derived(metrics)
