@@ -366,13 +366,20 @@ def route_valid_rows(spark, sf_dir):
 
 @query
 def route_arriving_claims(spark, sf_dir):
-    """Claims that arrive in two lots of files; the routing is started three times from its checkpoint."""
+    """Claims that arrive in two lots of files; the routing is started three times from its checkpoint.
+
+    A lot has as many files as its claims have partitions; three quarters of them, three at least, make a batch.
+    """
     claims = with_faults(order_claims(spark, sf_dir))
     folder = scratch_path(spark, "arriving")
     early = F.col("service_date") < F.lit(dt.date(1998, 1, 1))
+    earlier = 0
     for lot in (claims.where(early), claims.where(~early)):
-        lot.repartition(4).write.mode("append").parquet(f"{folder}/claims")
-        routing.route_arrived(spark, f"{folder}/claims", f"{folder}/routed", claims.schema, files_per_batch=3)
+        lot.write.mode("append").parquet(f"{folder}/claims")
+        files = len(spark.read.schema(claims.schema).parquet(f"{folder}/claims").inputFiles())
+        batch = max(3, (files - earlier) * 3 // 4)
+        routing.route_arrived(spark, f"{folder}/claims", f"{folder}/routed", claims.schema, files_per_batch=batch)
+        earlier = files
     routing.route_arrived(spark, f"{folder}/claims", f"{folder}/routed", claims.schema)
     routed = routing.load_routed(spark, f"{folder}/routed")
     return routed["valid"].select("claim_id", F.lit("").alias("failed_rules")).union(

@@ -26,3 +26,18 @@ def test_claims_of_key_metrics_and_providers_are_stored(spark, monkeypatch):
     monkeypatch.setattr(queries.features, "provider_features", lambda claims: (given.append(claims), provider_features(claims))[1])
     metrics = queries.QUERIES["report_key_metrics"](spark, SF_DIR)
     assert len(given) == 1 and not derived(given[0]) and not derived(metrics)
+
+
+def test_arriving_files_grow_with_the_claims(spark, monkeypatch):
+    """A lot is not dealt to a fixed number of tasks: eight partitions of claims arrive as eight files."""
+    order_claims, routed, batches = queries.order_claims, queries.routing.route_arrived, []
+
+    def route(session, source, *args, **kwargs):
+        batches.append((len(session.read.parquet(source).inputFiles()), kwargs.get("files_per_batch")))
+        routed(session, source, *args, **kwargs)
+
+    monkeypatch.setattr(queries, "order_claims", lambda *args: order_claims(*args).repartition(8))
+    monkeypatch.setattr(queries.routing, "route_arrived", route)
+    found = queries.QUERIES["route_arriving_claims"](spark, SF_DIR)
+    assert batches == [(8, 6), (16, 6), (16, None)]
+    assert found.count() == order_claims(spark, SF_DIR).count()
