@@ -53,9 +53,9 @@ DIAGNOSES = _array(
 
 # Each layer uses the columns of the layer before.
 NUMBERS = {
-    "u1": "(l_orderkey * 131 + l_linenumber * 17 + l_partkey * 7 + l_suppkey) % 1000",
-    "u2": "(l_orderkey * 37 + l_linenumber * 101 + l_partkey * 13 + l_suppkey * 3) % 1009",
-    "u3": "(l_orderkey * 59 + l_linenumber + l_partkey * 29 + l_suppkey * 5) % 997",
+    "u1": "CAST((l_orderkey * 131 + l_linenumber * 17 + l_partkey * 7 + l_suppkey) % 1000 AS INT)",
+    "u2": "CAST((l_orderkey * 37 + l_linenumber * 101 + l_partkey * 13 + l_suppkey * 3) % 1009 AS INT)",
+    "u3": "CAST((l_orderkey * 59 + l_linenumber + l_partkey * 29 + l_suppkey * 5) % 997 AS INT)",
     "prov": "if(l_partkey % 10 = 0, l_suppkey - l_suppkey % 20, l_suppkey)",
 }
 REMAINDERS = {
@@ -63,33 +63,33 @@ REMAINDERS = {
     "u1_100": "u1 % 100",
     "u2_100": "u2 % 100",
     "u3_100": "u3 % 100",
-    "payer": "CAST(u2 % 20 AS INT)",
-    "reason": "CAST(u2 % 6 AS INT)",
+    "payer": "u2 % 20",
+    "reason": "u2 % 6",
     "region": "CAST(prov % 4 AS INT)",
-    "delay": "CAST(u2 % 30 AS INT)",
+    "delay": "u2 % 30",
 }
 BASICS = {
     "denied": "NOT cluster AND u3_100 < 12",
     "authorized": "NOT cluster AND u2 % 4 = 1",
     "claim_type": "CASE WHEN cluster OR u1_100 < 60 THEN 'Professional' WHEN u1_100 < 85 THEN 'Institutional' ELSE 'Pharmacy' END",
-    "service_date": "if(cluster, DATE '2001-08-01' + CAST(u1 % 60 AS INT), CAST(l_shipdate AS DATE))",
+    "service_date": "if(cluster, DATE '2001-08-01' + u1 % 60, CAST(l_shipdate AS DATE))",
     "allowed_amount": "floor(l_extendedprice * if(prov % 20 = 7, 5, 40 + u1 % 56)) / 100",
 }
-KINDS = {"code_kind": "CAST(if(cluster, 20, if(claim_type = 'Pharmacy', 21, u2_100 DIV 5)) AS INT)"}
+KINDS = {"code_kind": "if(cluster, 20, if(claim_type = 'Pharmacy', 21, CAST(u2_100 DIV 5 AS INT)))"}
 COLUMNS = {
     "claim_id": "concat_ws('-', 'CLM', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
     "member_id": "concat('MEM-', o_custkey)",
     "provider_id": "concat('PROV-', prov)",
     "facility_id": "if(u2 % 10 >= 3, concat('FAC-', prov % 20), NULL)",
     "payer_product": f"get({PAYERS}, payer)",
-    "plan_type": f"get({PLANS}, CAST(u3 % 4 AS INT))",
+    "plan_type": f"get({PLANS}, u3 % 4)",
     "line_of_business": f"get({LINES}, payer)",
     "service_date": "service_date",
     "claim_received_date": "service_date + (1 + delay)",
-    "paid_date": "if(u3 % 20 = 0, NULL, service_date + (15 + delay + CAST(u1 % 77 AS INT)))",
+    "paid_date": "if(u3 % 20 = 0, NULL, service_date + (15 + delay + u1 % 77))",
     "claim_type": "claim_type",
-    "place_of_service": f"get({PLACES}, CAST(if(cluster, 3, u1 % 3) AS INT))",
-    "diagnosis_codes": f"get({DIAGNOSES}, CAST(u2 % 7 * 12 + if(u3 % 3 = 0, 11, u1 % 11) AS INT))",
+    "place_of_service": f"get({PLACES}, if(cluster, 3, u1 % 3))",
+    "diagnosis_codes": f"get({DIAGNOSES}, u2 % 7 * 12 + if(u3 % 3 = 0, 11, u1 % 11))",
     "procedure_code": f"get({CODES}, code_kind * 10 + CAST(if(cluster, u1, l_partkey) % 10 AS INT))",
     "revenue_code": "if(claim_type = 'Institutional', concat('0', 100 + u3 % 800), NULL)",
     "billed_amount": "l_extendedprice",

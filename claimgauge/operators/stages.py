@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: HotSpot never compiles a longer method, in bytes: it stays interpreted, several times slower.
+LONGEST_COMPILED_METHOD = 8000
 #: Paths handed out per application and not removed yet.
 _HANDED_OUT: dict[str, list[str]] = {}
 #: Folders of local sessions without a setting, per application.
@@ -37,6 +39,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside have no generated method that is too long to be compiled.
+
+    A projection of many columns may exceed that length as one method; Spark then generates several short ones instead.
+    A limit that the session sets itself stays, and no setting is left behind.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(limit, None) is not None:
+        yield
+        return
+    spark.conf.set(limit, str(LONGEST_COMPILED_METHOD))
+    try:
+        yield
+    finally:
+        spark.conf.unset(limit)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written; this runs a job.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from claimgauge.operators.stages import compiled_methods
 from claimgauge.schema import CLAIMS
 
 
@@ -27,7 +28,8 @@ def load_claims(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_table(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").parquet(path)
+    with compiled_methods(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return path
 
 

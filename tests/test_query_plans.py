@@ -1,10 +1,14 @@
 """What the catalog's queries read and how they deal it, over the driver tables."""
 
 import os
+import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from catalog import queries
+from claimgauge.operators import validation
+from claimgauge.operators.stages import LONGEST_COMPILED_METHOD
 from test_catalog import SF_DIR
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not present")
@@ -41,3 +45,32 @@ def test_arriving_files_grow_with_the_claims(spark, monkeypatch):
     found = queries.QUERIES["route_arriving_claims"](spark, SF_DIR)
     assert batches == [(8, 6), (16, 6), (16, None)]
     assert found.count() == order_claims(spark, SF_DIR).count()
+
+
+LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+@pytest.mark.parametrize("name", ["write_features_claims"])
+def test_whole_claims_are_written_by_compiled_methods(spark, monkeypatch, name):
+    """Tagged or damaged claims make one method of more than 8000 bytes, which would be interpreted."""
+    wide, parquet = [], DataFrameWriter.parquet
+
+    def write(writer, *args, **kwargs):
+        if len(writer._df.columns) >= len(queries.order_claims(spark, SF_DIR).columns):
+            wide.append(int(spark.conf.get(LIMIT)))
+        return parquet(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    queries.QUERIES[name](spark, SF_DIR)
+    assert wide and set(wide) == {LONGEST_COMPILED_METHOD}
+    assert spark.conf.get(LIMIT, None) is None
+
+
+def test_a_scan_of_derived_claims_is_one_compiled_method(spark, capsys):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        validation.scan(queries.order_claims(spark, SF_DIR)).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+    assert sizes and max(map(int, sizes)) <= LONGEST_COMPILED_METHOD

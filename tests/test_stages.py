@@ -3,6 +3,8 @@
 import os
 from types import SimpleNamespace
 
+import pytest
+
 from claimgauge.operators import stages
 
 
@@ -36,3 +38,18 @@ def test_the_last_stage_stays(spark):
     assert kept.count() == 3 and result.count() == 2
     name = inner.inputFiles()[0].removeprefix("file://")
     assert not os.path.exists(name)
+
+
+def test_limit_of_the_session_stays(spark, monkeypatch):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    with pytest.raises(ZeroDivisionError), stages.compiled_methods(spark):
+        assert spark.conf.get(limit) == "8000"
+        1 / 0
+    assert spark.conf.get(limit, None) is None
+    spark.conf.set(limit, "4000")
+    try:
+        with stages.compiled_methods(spark):
+            assert spark.conf.get(limit) == "4000"
+        assert spark.conf.get(limit) == "4000"
+    finally:
+        spark.conf.unset(limit)
