@@ -32,7 +32,7 @@ from claimgauge.operators import (
     validation,
 )
 from claimgauge.operators.joins import join_groups
-from claimgauge.operators.stages import materialize, scratch_path
+from claimgauge.operators.stages import compiled_methods, materialize, scratch_path
 from claimgauge.plans.policy_insights import kpis_from_claims, rules_from_claims
 from claimgauge.sources import claims as claim_tables, external_csv, monthly_claims, policies, policy_files, reports
 from claimgauge.streaming import routing
@@ -375,7 +375,8 @@ def route_arriving_claims(spark, sf_dir):
     early = F.col("service_date") < F.lit(dt.date(1998, 1, 1))
     earlier = 0
     for lot in (claims.where(early), claims.where(~early)):
-        lot.write.mode("append").parquet(f"{folder}/claims")
+        with compiled_methods(spark):
+            lot.write.mode("append").parquet(f"{folder}/claims")
         files = len(spark.read.schema(claims.schema).parquet(f"{folder}/claims").inputFiles())
         batch = max(3, (files - earlier) * 3 // 4)
         routing.route_arrived(spark, f"{folder}/claims", f"{folder}/routed", claims.schema, files_per_batch=batch)

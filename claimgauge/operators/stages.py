@@ -66,7 +66,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with compiled_methods(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -50,7 +50,7 @@ def test_arriving_files_grow_with_the_claims(spark, monkeypatch):
 LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
-@pytest.mark.parametrize("name", ["write_features_claims"])
+@pytest.mark.parametrize("name", ["write_features_claims", "write_reports_validate_issues", "route_arriving_claims"])
 def test_whole_claims_are_written_by_compiled_methods(spark, monkeypatch, name):
     """Tagged or damaged claims make one method of more than 8000 bytes, which would be interpreted."""
     wide, parquet = [], DataFrameWriter.parquet
