@@ -112,6 +112,9 @@ COLUMNS = {
     "specialty": f"get({SPECIALTIES}, CAST(if(cluster, 3, prov % 3) AS INT))",
 }
 
+#: What the claims are derived from; a third as wide as the claims.
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "o_custkey")
+
 
 def _spread(lines: DataFrame) -> DataFrame:
     """Give every core a share of a line table with fewer splits than the session has cores.
@@ -122,13 +125,23 @@ def _spread(lines: DataFrame) -> DataFrame:
     return lines.repartition(cores, "l_orderkey") if lines.rdd.getNumPartitions() < cores else lines
 
 
-def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines that have a customer, in the columns that claims are derived from."""
     lines = _spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     # Customer keys are unique, so keeping the orders that have a customer equals joining them.
     owned = orders.join(customers, orders.o_custkey == customers.c_custkey, "left_semi")
-    layered = lines.join(owned, lines.l_orderkey == owned.o_orderkey)
+    return lines.join(owned, lines.l_orderkey == owned.o_orderkey).select(*LINE)
+
+
+def derive(lines: DataFrame, names: list[str], kept: list[str]) -> DataFrame:
+    """The claims columns ``names`` of every line, after the columns ``kept`` of the line itself."""
+    layered = lines
     for layer in (NUMBERS, REMAINDERS, BASICS, KINDS):
         layered = layered.selectExpr("*", *[f"{text} AS {name}" for name, text in layer.items()])
-    return layered.selectExpr(*[f"{COLUMNS[field.name]} AS {field.name}" for field in CLAIMS])
+    return layered.selectExpr(*kept, *[f"{COLUMNS[name]} AS {name}" for name in names])
+
+
+def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(order_lines(spark, sf_dir), CLAIMS.names, [])

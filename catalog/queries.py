@@ -34,9 +34,10 @@ from claimgauge.operators import (
 from claimgauge.operators.joins import join_groups
 from claimgauge.operators.stages import compiled_methods, materialize, scratch_path
 from claimgauge.plans.policy_insights import kpis_from_claims, rules_from_claims
+from claimgauge.schema import CLAIMS
 from claimgauge.sources import claims as claim_tables, external_csv, monthly_claims, policies, policy_files, reports
 from claimgauge.streaming import routing
-from catalog.order_claims import order_claims
+from catalog.order_claims import LINE, derive, order_claims, order_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,11 +160,21 @@ def external_rows(claims: DataFrame) -> DataFrame:
 
 
 def claims_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The claims by month: all of them, then the later half of the months once more in a corrected batch."""
-    claims, path = materialize(order_claims(spark, sf_dir), "claims"), scratch_path(spark, "claims-by-month")
+    """The claims by month: all of them, then the later half of the months once more in a corrected batch.
+
+    Their order lines are stored and dealt with month and code; the tasks that write the months derive the claims.
+    """
+    lines = materialize(derive(order_lines(spark, sf_dir), ["service_date", "procedure_code"], [*LINE]), "lines")
+    path = scratch_path(spark, "claims-by-month")
     later = F.col("service_date") >= F.lit(dt.date(1996, 1, 1))
-    monthly_claims.save_claims_by_month(claims.withColumn("units", F.when(later, -F.col("units")).otherwise(F.col("units"))), path)
-    monthly_claims.save_claims_by_month(claims.where(later), path)
+
+    def dealt_claims(batch: DataFrame) -> DataFrame:
+        dealt = monthly_claims.deal_by_month(batch, "l_orderkey").select(*LINE, monthly_claims.MONTH)
+        return derive(dealt, CLAIMS.names, [monthly_claims.MONTH])
+
+    faulty = F.when(later, -F.col("units")).otherwise(F.col("units"))
+    monthly_claims.write_months(dealt_claims(lines).withColumn("units", faulty), path)
+    monthly_claims.write_months(dealt_claims(lines.where(later)), path)
     return monthly_claims.load_claims_by_month(spark, path)
 
 

@@ -4,6 +4,9 @@ A folder per month, files sorted by procedure code. Rows are dealt to tasks by r
 month that holds a third of all claims is written by as many tasks as it needs, and small months share one. Saving
 replaces the months that the given claims hold and leaves the others; a batch saved twice is there once.
 
+Claims that are derived row by row from narrower ones are best dealt as those (:func:`deal_by_month`) and derived by the
+tasks that write them (:func:`write_months`): only the narrow rows are shuffled and sorted.
+
 Claims without a date of service have a folder of their own, which no period reads. An empty table changes nothing.
 """
 
@@ -13,6 +16,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from claimgauge.operators.stages import compiled_methods
 from claimgauge.sources.claims import load_claims
 
 #: The column of the folders: the first day of the month.
@@ -23,16 +27,27 @@ def month_of(day: Column) -> Column:
     return F.trunc(day, "MM").cast("date")
 
 
-def save_claims_by_month(claims: DataFrame, path: str) -> str:
-    """Write the claims into their months, in place of what these months held before."""
-    if MONTH in claims.columns:
+def deal_by_month(rows: DataFrame, spread_by: str) -> DataFrame:
+    """Rows with a ``service_date`` and a ``procedure_code``, and their month: dealt by ranges of month, code and the
+    column ``spread_by``, in that order within each partition."""
+    if MONTH in rows.columns:
         raise ValueError(f"the column {MONTH} is made from service_date; drop it first")
-    order = (MONTH, "procedure_code", "claim_id")
-    dealt = claims.withColumn(MONTH, month_of(F.col("service_date"))).repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    order = (MONTH, "procedure_code", spread_by)
+    return rows.withColumn(MONTH, month_of(F.col("service_date"))).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_months(dealt: DataFrame, path: str) -> str:
+    """Write dealt claims, with their month, into the months, in place of what these held before."""
+    with compiled_methods(dealt.sparkSession):
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
     return path
 
 
+def save_claims_by_month(claims: DataFrame, path: str) -> str:
+    """Write the claims into their months, in place of what these months held before."""
+    return write_months(deal_by_month(claims, "claim_id"), path)
+
+
 def load_claims_by_month(spark: SparkSession, path: str) -> DataFrame:
     """The claims with their month as the last column, which filters and joins on months prune by."""
     claims = load_claims(spark, path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from claimgauge.config import PolicyChangeEvent
 from claimgauge.operators.policy_events import policy_impact, window_filter
-from claimgauge.sources.monthly_claims import load_claims_by_month, save_claims_by_month
+from claimgauge.sources.monthly_claims import deal_by_month, load_claims_by_month, save_claims_by_month, write_months
 
 EVENT = PolicyChangeEvent("EV-1", ("CPT-99",), "removed", dt.date(2024, 6, 3))
 
@@ -64,3 +64,21 @@ def test_a_large_month_is_written_by_several_tasks(spark, claims, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(glob.glob(f"{tmp_path}/claims/service_month=2024-01-01/*.parquet")) == 4
+
+
+def test_claims_may_be_derived_after_dealing(spark, claims, tmp_path):
+    """The same months and rows as by saving the derived claims, with codes in order within each file."""
+    narrow = claims.select("claim_id", "service_date", F.concat(F.lit("CPT-"), F.col("units") % 7).alias("procedure_code"), "units")
+
+    def derived(rows):
+        return rows.withColumn("note", F.concat_ws("/", "claim_id", "procedure_code", F.col("units") * 2))
+
+    dealt = write_months(derived(deal_by_month(narrow, "units")), str(tmp_path / "dealt"))
+    saved = save_claims_by_month(derived(narrow), str(tmp_path / "saved"))
+    loaded = load_claims_by_month(spark, dealt)
+    assert rows(loaded) == rows(load_claims_by_month(spark, saved)) and loaded.count() == claims.count()
+    for file in glob.glob(f"{dealt}/*/*.parquet"):
+        codes = [row[0] for row in spark.read.parquet(file).select("procedure_code").coalesce(1).collect()]
+        assert codes == sorted(codes)
+    with pytest.raises(ValueError):
+        deal_by_month(loaded, "units")

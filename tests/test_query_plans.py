@@ -5,6 +5,7 @@ import re
 
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql.classic.dataframe import DataFrame
 
 from catalog import queries
 from claimgauge.operators import validation
@@ -32,6 +33,15 @@ def test_claims_of_key_metrics_and_providers_are_stored(spark, monkeypatch):
     assert len(given) == 1 and not derived(given[0]) and not derived(metrics)
 
 
+@pytest.mark.parametrize("name", ["load_claims_by_month", "window_filter_by_month", "policy_impact_by_month"])
+def test_claims_by_month_are_dealt_as_lines(spark, monkeypatch, name):
+    """Both saves deal order lines with a month and a code, not whole claims."""
+    dealt, deal = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda df, *order: (dealt.append(df.columns), deal(df, *order))[1])
+    queries.QUERIES[name](spark, SF_DIR)
+    assert len(dealt) == 2 and all(len(columns) <= 11 for columns in dealt)
+
+
 def test_arriving_files_grow_with_the_claims(spark, monkeypatch):
     """A lot is not dealt to a fixed number of tasks: eight partitions of claims arrive as eight files."""
     order_claims, routed, batches = queries.order_claims, queries.routing.route_arrived, []
