@@ -164,7 +164,8 @@ def claims_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Their order lines are stored and dealt with month and code; the tasks that write the months derive the claims.
     """
-    lines = materialize(derive(order_lines(spark, sf_dir), ["service_date", "procedure_code"], [*LINE]), "lines")
+    lines = derive(order_lines(spark, sf_dir), ["service_date", "procedure_code"], [*LINE])
+    lines = materialize(lines, "lines", monthly_claims.COMPRESSION)
     path = scratch_path(spark, "claims-by-month")
     later = F.col("service_date") >= F.lit(dt.date(1996, 1, 1))
 

@@ -57,7 +57,7 @@ def compiled_methods(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(limit)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written; this runs a job.
 
     Later steps start from stored files, so a lost executor costs them nothing that lies before
@@ -67,7 +67,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with compiled_methods(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

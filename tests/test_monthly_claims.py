@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,12 @@ def test_claims_may_be_derived_after_dealing(spark, claims, tmp_path):
         assert codes == sorted(codes)
     with pytest.raises(ValueError):
         deal_by_month(loaded, "units")
+
+
+def test_months_are_compressed_tightly(spark, claims, tmp_path):
+    """Every file of a save, and of a batch that replaces months, whatever the session compresses by."""
+    path = save_claims_by_month(claims, str(tmp_path / "claims"))
+    save_claims_by_month(claims.where("service_date >= '2024-05-01'"), path)
+    files = glob.glob(f"{path}/*/*.parquet")
+    groups = [pq.ParquetFile(file).metadata.row_group(0) for file in files]
+    assert len(files) >= 13 and {group.column(i).compression for group in groups for i in range(group.num_columns)} == {"ZSTD"}

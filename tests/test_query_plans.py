@@ -3,6 +3,7 @@
 import os
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql.classic.dataframe import DataFrame
@@ -42,6 +43,16 @@ def test_claims_by_month_are_dealt_as_lines(spark, monkeypatch, name):
     assert len(dealt) == 2 and all(len(columns) <= 11 for columns in dealt)
 
 
+@pytest.mark.parametrize("name", ["load_claims_by_month", "window_filter_by_month", "policy_impact_by_month"])
+def test_lines_of_claims_by_month_are_compressed_tightly(spark, monkeypatch, name):
+    stored, materialize = {}, queries.materialize
+    monkeypatch.setattr(queries, "materialize", lambda df, label, *args: stored.setdefault(label, materialize(df, label, *args)))
+    queries.QUERIES[name](spark, SF_DIR)
+    files = [file.removeprefix("file://") for file in stored["lines"].inputFiles()]
+    groups = [pq.ParquetFile(file).metadata.row_group(0) for file in files]
+    assert {group.column(i).compression for group in groups for i in range(group.num_columns)} == {"ZSTD"}
+
+
 def test_arriving_files_grow_with_the_claims(spark, monkeypatch):
     """A lot is not dealt to a fixed number of tasks: eight partitions of claims arrive as eight files."""
     order_claims, routed, batches = queries.order_claims, queries.routing.route_arrived, []
